@@ -36,8 +36,12 @@ def sql_norm(x: str, digits: bool = False) -> str:
 
 
 def sql_shingles(x: str) -> str:
-    n = sql_norm(x, True)
-    return f"list_distinct(list_transform(range(1, length({n}) - 3, 2), lambda i: substr({n}, i, 5)))"
+    cs = f"[string_split({sql_norm(x, True)}, '')]"
+    return f"list_transform({cs}, lambda cs: list_distinct(list_transform(range(1, len(cs) - 3, 2), lambda i: cs[i] || cs[i + 1] || cs[i + 2] || cs[i + 3] || cs[i + 4])))[1]"
+
+
+def sql_char_bigrams(x: str) -> str:
+    return f"list_transform([string_split({sql_norm(x)}, '')], lambda cs: list_transform(range(1, len(cs)), lambda i: cs[i] || cs[i + 1]))[1]"
 
 
 @query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
