@@ -92,10 +92,11 @@ def _sql() -> str:
         protect = f"regexp_replace({protect}, '([{_JOINED}])\\x{{200D}}([{_JOINED}])', '\\1﷐\\2', 'g')"
     protect = f"regexp_replace({protect}, '([{_PICTURE}©®0-9#*])\\x{{FE0F}}', '\\1﷑', 'g')"
     visible = f"regexp_replace(t, '[{_ORDINARY_INVISIBLE}\\x{{200C}}\\x{{200D}}]', '', 'g')"
-    plain = f"translate(t, {_quote(forms_from)}, {_quote(forms_to)})"
+    wide = r"([\x{FF10}-\x{FF19}])\x{FF0E}([\x{FF10}-\x{FF19}])"
+    plain = f"regexp_replace(regexp_replace(t, '{wide}', '\\1.\\2', 'g'), '{wide}', '\\1.\\2', 'g')"  # twice, as neighbours share a digit
+    plain = f"translate({plain}, {_quote(forms_from)}, {_quote(forms_to)})"
     for k, v in _LIGATURES.items():
         plain = f"replace({plain}, {_quote(k)}, {_quote(v)})"
-    plain = f"regexp_replace({plain}, '([0-9])\\x{{FF0E}}([0-9])', '\\1.\\2', 'g')"
     words = f"list_transform(regexp_extract_all(t, '[{_WORD}]+|[^{_WORD}]+'), lambda w: CASE WHEN regexp_matches(w, {_quote(mixed)}) THEN translate(w, {_quote(like_from)}, {_quote(like_to)}) ELSE w END)"
     return f"""
         WITH s0 AS (SELECT k, t AS raw, {protect} AS t FROM batch WHERE regexp_matches(t, {_quote(odd)})),

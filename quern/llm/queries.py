@@ -6,57 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import characters, copies, leakage, mojibake, pieces, stories, tokens
-from quern.session import table
+from quern.session import spread_table, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = characters.flagged(table(spark, sf_dir, "report_pages"), "page_id", "text")
-    entries = characters.flagged(table(spark, sf_dir, "feed_entries"), "entry_id", "title")
+    pages = characters.flagged(spread_table(spark, sf_dir, "report_pages"), "page_id", "text")
+    entries = characters.flagged(spread_table(spark, sf_dir, "feed_entries"), "entry_id", "title")
     return pages.select(F.lit("page").alias("record_kind"), "record_id").unionByName(entries.select(F.lit("entry").alias("record_kind"), "record_id"))
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = characters.clean_texts(table(spark, sf_dir, "report_pages"), "page_id", "text")
-    entries = characters.clean_texts(table(spark, sf_dir, "feed_entries"), "entry_id", "title")
+    pages = characters.clean_texts(spread_table(spark, sf_dir, "report_pages"), "page_id", "text")
+    entries = characters.clean_texts(spread_table(spark, sf_dir, "feed_entries"), "entry_id", "title")
     return pages.withColumn("record_kind", F.lit("page")).unionByName(entries.withColumn("record_kind", F.lit("entry")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.oversized(table(spark, sf_dir, "report_pages"), table(spark, sf_dir, "report_tables"))
+    return pieces.oversized(spread_table(spark, sf_dir, "report_pages"), spread_table(spark, sf_dir, "report_tables"))
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "report_pages").select("page_id", "text").dropDuplicates(["page_id"])
-    grids = table(spark, sf_dir, "report_tables").select("table_id", "table_rows").dropDuplicates(["table_id"])
+    pages = spread_table(spark, sf_dir, "report_pages").select("page_id", "text").dropDuplicates(["page_id"])
+    grids = spread_table(spark, sf_dir, "report_tables").select("table_id", "table_rows").dropDuplicates(["table_id"])
     return pieces.pieces(pages, grids)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.further_copies(table(spark, sf_dir, "feed_entries"))
+    return copies.further_copies(spread_table(spark, sf_dir, "feed_entries"))
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.copy_counts(table(spark, sf_dir, "feed_entries"))
+    return copies.copy_counts(spread_table(spark, sf_dir, "feed_entries"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories.p7_pairs(table(spark, sf_dir, "feed_entries"))
+    return stories.p7_pairs(spread_table(spark, sf_dir, "feed_entries"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encoded(table(spark, sf_dir, "documents"))
+    return tokens.encoded(spread_table(spark, sf_dir, "documents"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaked(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.garbled(table(spark, sf_dir, "documents"))
+    return mojibake.garbled(spread_table(spark, sf_dir, "documents"))
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.restore(table(spark, sf_dir, "documents")).where("spans > 0")
+    return mojibake.restore(spread_table(spark, sf_dir, "documents")).where("spans > 0")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p5_found, p5_counts, p7_found, p8_ids, p9_found, p10_found, p10_restored)}

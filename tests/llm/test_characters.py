@@ -5,10 +5,10 @@ from hypothesis import strategies as st
 from quern.llm.characters import Cleaner, clean_texts, flagged
 
 CASES = {
-    "Ｔｏｒ": "Tor", "１２％": "12%", "１．２": "1.2", "été": "été", "plan​es": "planes", "ﬃx": "ffix", "Ρrofіt": "Profit", "⻅附⼀": "见附一", "𝐌𝐚": "Ma", "a b": "a b",
+    "Ｔｏｒ": "Tor", "１２％": "12%", "１．２．３": "1.2.3", "été": "été", "plan​es": "planes", "ﬃx": "ffix", "Ρrofіt": "Profit", "⻅附⼀": "见附一", "𝐌𝐚": "Ma", "a b": "a b",
     "ЕХQUA": "EXQUA", "x️": "x", "Leɑsing": "Leasing", "ｱｲ": "アイ", "\uf961": "率", "a　b": "a b", "﻿x": "x", "х́a": "x́a", "⻓⻛⻋": "长风车",
 }
-PLAIN = ["ab", "Север", "СЕВЕР", "α版体验", "β测试", "👩‍💻 ok", "❤️", "été Rûno", "中文，全角；（）：！？", "«“”’–…", "カタログ・안내", "m² ① Ⅲ", "می‌خو", "𠮷", "", None, "20 %"]
+PLAIN = ["ab", "Север", "СЕВЕР", "α版体验", "β测试", "👩‍💻 ok", "❤️", "été Rûno", "中文，全角；（）：！？", "«“”’–…", "カタログ・안내", "m² ① Ⅲ", "می‌خو", "𠮷", "", None, "20 %", "α 1．2", "目录．．．．12"]
 
 
 def test_cases_and_plain_texts():
