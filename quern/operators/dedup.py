@@ -72,7 +72,8 @@ def _containment(classes: DataFrame) -> DataFrame:
 def _shingled(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose shingle sets have the wanted Jaccard similarity, by prefix filtering: a pair must share one of each
     side's n - ceil(0.88 n) + 1 rarest shingles."""
-    sets = written(classes.where(F.length("form") >= LEAST_SHINGLED).select("class_id", F.length("form").alias("len"), T.shingles(F.col("form")).alias("s")).where("size(s) > 0"), "shingles")
+    hashed = F.transform(T.shingles(F.col("form")), lambda x: F.xxhash64(x))  # candidates by hash, the links found by the shingles themselves
+    sets = written(classes.where(F.length("form") >= LEAST_SHINGLED).select("class_id", F.length("form").alias("len"), hashed.alias("s")).where("size(s) > 0"), "shingles")
     posted = sets.select("class_id", "len", F.size("s").alias("n"), F.explode("s").alias("shingle"))
     often = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = posted.join(often, "shingle")
@@ -80,12 +81,22 @@ def _shingled(classes: DataFrame) -> DataFrame:
     single = F.col("n") - F.size("ordered")
     ordered = shared.groupBy("class_id", "len", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
     places = F.col("n") - F.ceil(F.col("n") * JACCARD / 100).cast("int") + 1 - single
-    prefix = ordered.where(places > 0).select("class_id", "len", "n", F.explode(F.slice("ordered", F.lit(1), places)).alias("o")).select("class_id", "len", "n", "o.shingle")
+    prefix = ordered.where(places > 0).select("class_id", "len", "n", (F.col("n") - F.size("ordered")).alias("single"), F.posexplode(F.slice("ordered", F.lit(1), places)).alias("p", "o"))
+    prefix = prefix.select("class_id", "len", "n", (F.col("n") - F.col("single") - F.col("p")).alias("rest"), "o.shingle")
     near = (F.col("x.class_id") < F.col("y.class_id")) & (10 * F.least("x.len", "y.len") >= RATIO_SHINGLED * F.greatest("x.len", "y.len")) & (100 * F.least("x.n", "y.n") >= JACCARD * F.greatest("x.n", "y.n"))
+    # at the first common shingle no more than the rest of either side, it included, can be common
+    near = near & ((100 + JACCARD) * F.least("x.rest", "y.rest") >= JACCARD * (F.col("x.n") + F.col("y.n")))
     pairs = prefix.alias("x").join(prefix.alias("y"), "shingle").where(near).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= JACCARD * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    likely = both.where(_similar("sa", "sb")).select("a", "b")
+    forms = classes.select("class_id", "form")
+    exact = likely.join(forms.withColumnsRenamed({"class_id": "a", "form": "fa"}), "a").join(forms.withColumnsRenamed({"class_id": "b", "form": "fb"}), "b")
+    return exact.select("a", "b", T.shingles(F.col("fa")).alias("sa"), T.shingles(F.col("fb")).alias("sb")).where(_similar("sa", "sb")).select("a", "b")
+
+
+def _similar(a: str, b: str) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return 100 * common >= JACCARD * (F.size(a) + F.size(b) - common)
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -8,10 +8,10 @@ the smaller id, so ranks do not depend on the order of addition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quern.session import is_small
+from quern.session import is_small, written
 
 K1, B, RRF_K, CANDIDATES, TOP = 1.2, 0.75, 60, 50, 10
 
@@ -21,13 +21,6 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
-    """One row: n_docs, avg_len (1 if there are no tokens)."""
-    length = F.size(tokens)
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.coalesce(F.sum(length) / F.count(F.lit(1)), F.lit(0.0)), F.lit(1e-9)).alias("avg"))\
-        .select("n_docs", F.when(F.col("avg") <= 1e-9, 1.0).otherwise(F.col("avg")).alias("avg_len"))
-
-
 def bm25(docs: DataFrame, id_col: str, tokens: Column, queries: DataFrame, query_id: str, query_tokens: Column, k1: float = K1, b: float = B, keep: Column | None = None) -> DataFrame:
     """(query_id, id, score) of every document with a positive score. A repeated query token counts once.
 
@@ -36,13 +29,17 @@ def bm25(docs: DataFrame, id_col: str, tokens: Column, queries: DataFrame, query
     asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(query_tokens)).alias("token"))
     wanted = asked.select("token").distinct()
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    sizes = Observation()
     lengths = docs.select(F.col(id_col).alias("d"), tokens.alias("tokens"), kept.alias("kept"))
-    stats = corpus_stats(lengths, F.col("tokens"))
-    postings = lengths.select("d", "kept", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(_maybe_broadcast(wanted), "token", "left_semi")
-    tf = postings.groupBy("token", "d", "kept", "len").agg(F.count(F.lit(1)).alias("tf"))
+    lengths = lengths.select("d", "kept", "tokens", F.size("tokens").alias("len")).observe(sizes, F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
+    postings = lengths.select("d", "kept", "len", F.explode("tokens").alias("token")).join(_maybe_broadcast(wanted), "token", "left_semi")
+    # the texts are tokenised in one pass, which also gives the statistics
+    tf = written(postings.groupBy("token", "d", "kept", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n_docs, total = sizes.get["n"], sizes.get["total"] or 0
+    avg_len = total / n_docs if total else 1.0
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weights = asked.join(df, "token").crossJoin(F.broadcast(stats)).select("q", "token", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    weights = asked.join(df, "token").select("q", "token", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
     scored = tf.where("kept").join(_maybe_broadcast(weights), "token").groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.where("score > 0").select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score")
 

@@ -12,7 +12,7 @@ from quern.operators import chunks as C
 from quern.operators import learning as L
 from quern.operators import retrieval as R
 from quern.plans.base import Registry
-from quern.session import table
+from quern.session import spread_table, table
 from quern.streaming import jobs
 
 query = Registry()
@@ -21,13 +21,13 @@ query = Registry()
 @query()
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping chunks of distinct pages, with offsets."""
-    pages = table(spark, sf_dir, "report_pages").select("page_id", "text").dropDuplicates(["page_id"])
+    pages = spread_table(spark, sf_dir, "report_pages").select("page_id", "text").dropDuplicates(["page_id"])
     return C.explode_text(pages, "page_id", "text", C.overlapping())
 
 
 @query()
 def document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.explode_text(table(spark, sf_dir, "documents"), "doc_id", "text", C.windows())
+    return C.explode_text(spread_table(spark, sf_dir, "documents"), "doc_id", "text", C.windows())
 
 
 @query()
@@ -38,7 +38,7 @@ def encoder_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide = sum("㐀" <= c <= "鿿" for c in text)
         return wide + -(-(len(text) - wide) // 4)
 
-    return C.explode_text(table(spark, sf_dir, "documents"), "doc_id", "text", C.lossless(count, 480))
+    return C.explode_text(spread_table(spark, sf_dir, "documents"), "doc_id", "text", C.lossless(count, 480))
 
 
 @query()
@@ -50,7 +50,7 @@ def packed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hit_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each item with an excerpt for it."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    docs, items = spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
     hits = R.ranked(R.bm25(docs, "doc_id", T.tokenize(F.col("text")), items, "item_id", T.tokenize(F.col("text"))), ["item_id"], "doc_id")
     asked = items.select("item_id", T.query_terms(F.col("text")).alias("terms"))
     joined = hits.join(docs.select("doc_id", "text", "source_url" if "source_url" in docs.columns else F.lit(None).cast("string").alias("source_url")), "doc_id").join(asked, "item_id")

@@ -10,25 +10,25 @@ from quern.functions import urls as U
 from quern.operators import dedup, feeds
 from quern.plans.base import Registry
 from quern.plans.texts import _sql_url, sql_fold, sql_norm
-from quern.session import table
+from quern.session import spread_table, table
 
 query = Registry()
 
 
 @query(f"SELECT min(doc_id) AS class_id, count(*) AS n FROM (SELECT doc_id, {sql_norm('text')} AS f FROM documents) WHERE f <> '' GROUP BY f")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_classes(table(spark, sf_dir, "documents"), "doc_id", T.normal_form(F.col("text"))).select("class_id", "n")
+    return dedup.exact_classes(spread_table(spark, sf_dir, "documents"), "doc_id", T.normal_form(F.col("text"))).select("class_id", "n")
 
 
 @query()
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicate_summary(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return dedup.near_duplicate_summary(spread_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents WHERE length(text) >= 80) WHERE r = 1")
 def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of eighty characters or more, the first of equal ones."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 80)
+    d = spread_table(spark, sf_dir, "documents").where(F.length("text") >= 80)
     return d.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
@@ -38,7 +38,7 @@ def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows outside the hold-out (ids divisible by seven) whose text equals none in it."""
-    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("f", T.normal_form(F.col("text")))
+    d = spread_table(spark, sf_dir, "documents").where("text is not null").withColumn("f", T.normal_form(F.col("text")))
     held = d.where("doc_id % 7 = 0 and f <> ''").select("f").distinct()
     return d.where("lang is not null and doc_id % 7 <> 0").join(held, "f", "left_anti").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import nested, timestamps, units
-from quern.session import table
+from quern.session import spread_table, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = units.figures(table(spark, sf_dir, "fact_checks"), table(spark, sf_dir, "report_tables"))
+    found = units.figures(table(spark, sf_dir, "fact_checks"), spread_table(spark, sf_dir, "report_tables"))
     return found.where("declared").drop("declared")
 
 
 def p1_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures without a printed unit beside figures that have one, in the unit the series' level speaks for."""
-    found = units.figures(table(spark, sf_dir, "fact_checks"), table(spark, sf_dir, "report_tables"), infer=True)
+    found = units.figures(table(spark, sf_dir, "fact_checks"), spread_table(spark, sf_dir, "report_tables"), infer=True)
     return found.where("not declared").drop("declared")
 
 
@@ -25,22 +25,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.wanted_leaves(table(spark, sf_dir, "json_records"))
+    return nested.wanted_leaves(spread_table(spark, sf_dir, "json_records"))
 
 
 def p6_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.merged_schema(table(spark, sf_dir, "json_records"))
+    return nested.merged_schema(spread_table(spark, sf_dir, "json_records"))
 
 
 def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All flat tables in one: a row per element, with its parent's key, ordinal and number of columns."""
-    rows = nested.flat_rows(table(spark, sf_dir, "json_records"))
+    rows = nested.flat_rows(spread_table(spark, sf_dir, "json_records"))
     return rows.select("record_id", "table_path", "row_key", "parent_key", "ordinal", F.size("columns").alias("n_columns"))
 
 
 def p6_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed companies with their status, linked to their question and record."""
-    rows = nested.flat_rows(table(spark, sf_dir, "json_records"), {"manual-review": r"/companies/(?:\[\]|\*)/(?:company|code|status|reason)$"})
+    rows = nested.flat_rows(spread_table(spark, sf_dir, "json_records"), {"manual-review": r"/companies/(?:\[\]|\*)/(?:company|code|status|reason)$"})
     places = rows.where(F.col("table_path").rlike(r"/companies/(\[\]|\*)$"))
     return places.select("record_id", "table_path", "row_key", "parent_key", "ordinal", *(F.col("columns").getItem(f"/{c}").alias(c) for c in ("company", "code", "status", "reason")))
 

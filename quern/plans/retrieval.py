@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.operators import retrieval as R
 from quern.plans.base import Registry
 from quern.plans.texts import sql_char_bigrams, sql_norm, sql_tokens
-from quern.session import table
+from quern.session import spread_table, table
 
 query = Registry()
 
@@ -31,7 +31,7 @@ _TOP = "SELECT q AS item_id, id AS doc_id, score, rank FROM (SELECT *, row_numbe
 
 
 def _scores(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    docs, items = spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
     return R.bm25(docs, "doc_id", T.tokenize(F.col("text")), items, "item_id", T.tokenize(F.col("text")), **more)
 
 
@@ -56,7 +56,7 @@ def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_panoramic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hits per query and source; sources without a hit stay. Ranks are within each source."""
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "eval_items").select("item_id")
+    docs, items = spread_table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "eval_items").select("item_id")
     hits = R.ranked(_scores(spark, sf_dir).join(docs, "doc_id"), ["item_id", "source"], "doc_id", 2)
     groups = items.distinct().crossJoin(F.broadcast(docs.select("source").distinct()))
     return R.with_all_groups(hits, groups, ["item_id", "source"]).select("item_id", "source", "doc_id", "score", "rank")
@@ -69,7 +69,7 @@ def bm25_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = table(spark, sf_dir, "report_manifest").select("company").distinct()
     companies = names.withColumn("company_no", F.row_number().over(Window.orderBy("company")))
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     scores = R.bm25(docs, "doc_id", T.char_bigrams(F.coalesce("text", F.lit(""))), companies, "company_no", T.char_bigrams(F.col("company")), k1=1.5)
     return scores.groupBy("company_no").agg(F.count(F.lit(1)).alias("n_hits"), F.max("score").alias("best"))
 
@@ -107,7 +107,7 @@ def vector_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and vectors of the same ids, fused."""
-    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    e, d = table(spark, sf_dir, "embeddings"), spread_table(spark, sf_dir, "documents")
     docs = d.join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("vec_id"), "text")
     asked = docs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "text")
     words = R.bm25(docs, "vec_id", T.tokenize(F.col("text")), asked, "query_id", T.tokenize(F.col("text")))
@@ -126,7 +126,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold documents hold the first forty normalised characters of an item; the items are one broadcast array, tested in one pass over the documents."""
     items = table(spark, sf_dir, "eval_items").select("item_id", T.normal_form(F.col("text")).alias("n")).where("length(n) >= 40")
     keys = items.agg(F.collect_list(F.struct("item_id", F.substring("n", 1, 40).alias("k"))).alias("keys"))
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.normal_form(F.col("text")).alias("n"))
+    docs = spread_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.normal_form(F.col("text")).alias("n"))
     held = docs.crossJoin(F.broadcast(keys)).select("doc_id", F.explode(F.filter("keys", lambda x: F.contains(F.col("n"), x["k"]))).alias("m"))
     gold = held.select(F.col("m.item_id").alias("item_id"), "doc_id").distinct()
     return R.reciprocal_ranks(R.ranked(_scores(spark, sf_dir), ["item_id"], "doc_id"), gold, "item_id", "doc_id")
@@ -173,7 +173,7 @@ def guarded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed inverse document frequencies of all tokens that two documents hold."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     df = docs.select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))

@@ -83,6 +83,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work that is heavy per row. If its files give fewer splits than the cluster has cores (a lone small file, say), its
+    rows are dealt out once; a table of many splits, as any large one is, is read as it lies."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate of a plan, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
