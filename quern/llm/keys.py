@@ -15,12 +15,14 @@ TRACKING = {"gclid", "fbclid", "at_medium", "at_campaign", "ref", "ref_src", "sp
 _ADDRESS = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?", re.DOTALL)
 
 
+_NO_KEY = re.compile(r"[\W_]+")
+
+
 def title_key(clean_title: str | None) -> str | None:
     """Letters and digits of an already cleaned title, case folded; None if there are none."""
     if not clean_title:
         return None
-    key = "".join(c for c in clean_title.casefold() if c.isalnum())
-    return key or None
+    return _NO_KEY.sub("", clean_title.casefold()) or None
 
 
 def url_key(url: str | None) -> str | None:
@@ -41,7 +43,7 @@ def _tracks(parameter: str) -> bool:
 
 
 _IDEOGRAPHS = "぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
-_PIECES = re.compile(rf"[{_IDEOGRAPHS}]|[^\W_{_IDEOGRAPHS}]+")
+_IDEOGRAPH, _PIECE = re.compile(f"[{_IDEOGRAPHS}]"), re.compile(rf"[^\W_{_IDEOGRAPHS}]+")
 _SHORT = re.compile(r"[A-Za-z]{1,3}")
 #: A word after one of these may be capitalised without being a name.
 _OPENERS = ":：“”\"'«»([{【（-–—|｜.!?。！？*…"
@@ -54,15 +56,15 @@ def words(clean_title: str | None) -> tuple[list[str], list[str], list[str], lis
     told by case, as "X+" if in capitals and "x-" if not; soft: the set of all other pieces; names: those of soft that are told
     to be names, being capitalised in a title of mixed case where other words are not.
     """
-    hard, short, upper, soft, names = [], [], [], set(), set()
     text = clean_title or ""
+    hard, short, upper, soft, names = [], [], [], set(_IDEOGRAPH.findall(text)), set()
     has_upper = any(c.isupper() for c in text)
     mixed = has_upper and any(c.islower() for c in text)
     telling = mixed or (has_upper and any(c.isalpha() and c.lower() == c.upper() for c in text))
-    for m in _PIECES.finditer(text):
+    for m in _PIECE.finditer(text):
         w = m[0]
         low = w.casefold()
-        if any(c.isdigit() for c in w):
+        if not w.isalpha() and any(map(str.isdigit, w)):
             hard.append(low)
         elif _SHORT.fullmatch(w):
             short.append(low)
@@ -70,9 +72,10 @@ def words(clean_title: str | None) -> tuple[list[str], list[str], list[str], lis
                 upper.append(low + ("+" if w.isupper() else "-"))
         else:
             soft.add(low)
-            before = text[: m.start()].rstrip()
-            if mixed and w[0].isupper() and before and before[-1] not in _OPENERS:
-                names.add(low)
+            if mixed and w[0].isupper():
+                before = text[: m.start()].rstrip()
+                if before and before[-1] not in _OPENERS:
+                    names.add(low)
     return sorted(hard), sorted(short), upper, sorted(soft), sorted(names)
 
 

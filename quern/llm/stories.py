@@ -91,14 +91,13 @@ class StoryIndex:
         if not self._has("frequent"):
             self._append("frequent", _frequent(new))
         postings = written(self._postings(new), "postings")
-        links = [
-            nodes.where("t is not null and u is not null and t <> u").select(F.col("t").alias("a"), F.col("u").alias("b")).distinct(),
-            titles.where("known is not null").select(F.col("node").alias("a"), F.col("known").alias("b")),
-            urls.where("known is not null").select(F.col("node").alias("a"), F.col("known").alias("b")),
-            _verified(postings, self.read("postings")),
-        ]
-        for part in links:
-            self._append("links", part)
+        links = (
+            nodes.where("t is not null and u is not null and t <> u").select(F.col("t").alias("a"), F.col("u").alias("b")).distinct()
+            .unionByName(titles.where("known is not null").select(F.col("node").alias("a"), F.col("known").alias("b")))
+            .unionByName(urls.where("known is not null").select(F.col("node").alias("a"), F.col("known").alias("b")))
+            .unionByName(_verified(postings, self.read("postings")))
+        )
+        self._append("links", links)
         self._append("titles", new)
         self._append("urls", urls.where("known is null"))
         self._append("postings", postings)
