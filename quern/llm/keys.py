@@ -47,24 +47,49 @@ _IDEOGRAPH, _PIECE = re.compile(f"[{_IDEOGRAPHS}]"), re.compile(rf"[^\W_{_IDEOGR
 _SHORT = re.compile(r"[A-Za-z]{1,3}")
 #: A word after one of these may be capitalised without being a name.
 _OPENERS = ":：“”\"'«»([{【（-–—|｜.!?。！？*…"
+#: What joins the pieces of a product code without a space.
+_JOINER = re.compile(r"[-‐‑‒–−_/]")
+
+
+def _digits(w: str) -> bool:
+    return not w.isalpha() and any(map(str.isdigit, w))
+
+
+def _code(text: str, pieces: list[re.Match], i: int, telling: bool) -> bool:
+    """Whether the short piece i is a code, as its own title tells: it is joined to a piece with digits; or in capitals where capitals
+    tell (a single letter only behind a piece with digits or joined to capitals); or, where they do not, it stands behind the first such piece, if that
+    has letters too (5R RL WITH, but 4J-5H ET)."""
+    w = pieces[i][0]
+    before = text[pieces[i - 1].end() : pieces[i].start()] if i else ""
+    after = text[pieces[i].end() : pieces[i + 1].start()] if i + 1 < len(pieces) else ""
+    joined = [pieces[j][0] for j, gap in ((i - 1, before), (i + 1, after)) if _JOINER.fullmatch(gap)]
+    if any(map(_digits, joined)):
+        return True
+    behind = before.isspace() and _digits(pieces[i - 1][0])
+    if telling:
+        return w.isupper() and (len(w) > 1 or behind or any(x.isupper() for x in joined))
+    return behind and not pieces[i - 1][0].isdigit() and not (i > 1 and _digits(pieces[i - 2][0]))
 
 
 def words(clean_title: str | None) -> tuple[list[str], list[str], list[str], list[str], list[str]]:
     """(hard, short, upper, soft, names) of a title, in pieces of letters and digits or single ideographs, case folded.
 
-    hard: pieces with digits; short: pieces of one to three ASCII letters, both with repetitions; upper: those of short that are
-    told by case, as "X+" if in capitals and "x-" if not; soft: the set of all other pieces; names: those of soft that are told
-    to be names, being capitalised in a title of mixed case where other words are not.
+    hard: pieces with digits and those of one to three ASCII letters that the title tells to be codes; short: the rest of one to
+    three ASCII letters, both with repetitions; upper: those of short that are told by case, as "X+" if in capitals and "x-" if not;
+    soft: the set of all other pieces; names: those of soft that are told to be names, being capitalised in a title of mixed case
+    where other words are not.
     """
     text = clean_title or ""
     hard, short, upper, soft, names = [], [], [], set(_IDEOGRAPH.findall(text)), set()
     has_upper = any(c.isupper() for c in text)
     mixed = has_upper and any(c.islower() for c in text)
     telling = mixed or (has_upper and any(c.isalpha() and c.lower() == c.upper() for c in text))
-    for m in _PIECE.finditer(text):
+    pieces = list(_PIECE.finditer(text))
+    capitals_tell = has_upper and (any(len(m[0]) > 1 and m[0].isalpha() and m[0].islower() for m in pieces) or any(c.isalpha() and c.lower() == c.upper() for c in text))
+    for i, m in enumerate(pieces):
         w = m[0]
         low = w.casefold()
-        if not w.isalpha() and any(map(str.isdigit, w)):
+        if _digits(w) or (_SHORT.fullmatch(w) and _code(text, pieces, i, capitals_tell)):
             hard.append(low)
         elif _SHORT.fullmatch(w):
             short.append(low)
@@ -83,7 +108,7 @@ _SCHEMA = "entry_id long, batch_no int, title_key string, url_key string"
 
 
 def canonical_entries(entries: DataFrame, with_words: bool = False) -> DataFrame:
-    """(entry_id, batch_no, title_key, url_key[, and what words() tells]) of entries with an id; keys are null where there is none."""
+    """(entry_id, batch_no, title_key, url_key[, hard, soft with the short words, names]) of entries with an id; keys are null where there is none."""
 
     def make():
         cleaner = Cleaner()
@@ -97,11 +122,12 @@ def canonical_entries(entries: DataFrame, with_words: bool = False) -> DataFrame
                 "url_key": [url_key(u) for u in batch["url"].to_pylist()],
             }
             if with_words:
-                out |= dict(zip(("hard", "short", "upper", "soft", "names"), map(list, zip(*map(words, titles)))))
+                told = [words(t) for t in titles]
+                out |= {"hard": [h for h, *_ in told], "soft": [sorted({*short, *soft}) for _, short, _, soft, _ in told], "names": [names for *_, names in told]}
             return out
 
         return step
 
     slim = entries.selectExpr("cast(entry_id as long) as entry_id", "cast(batch_no as int) as batch_no", "title", "url").where("entry_id is not null")
-    more = "".join(f", {c} array<string>" for c in ("hard", "short", "upper", "soft", "names")) if with_words else ""
+    more = "".join(f", {c} array<string>" for c in ("hard", "soft", "names")) if with_words else ""
     return map_columns(slim, make, _SCHEMA + more)

@@ -10,8 +10,8 @@ Tokens are ordered from rare to frequent: words outside the list of frequent wor
 rewording keeps every code and number, so a title that has some is posted under its first hard token alone, without losing a link;
 a title without any is posted under as many of its first words as the overlap threshold demands.
 
-Hard tokens are the pieces of codes and numbers: all with digits, and those of one to three ASCII letters that the titles the index
-was created with write in capitals more often than not, where case tells (a list of at most 18,278 pieces, whatever the data).
+Hard tokens are the pieces of codes and numbers: all with digits, and those of one to three ASCII letters that the title itself tells
+to be codes, by what they are joined to and by their capitals. So a title means the same in every batch, whatever came before.
 
 Two titles tell the same story if they have the same hard tokens, no word of either that is told to be a name is missing from the
 other, and at least OVERLAP of all their other words are common (TESTDATA.md asks for light rewording here, not for the five-word
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from quern.functions.arrow import map_columns
 from quern.llm.graph import components
 from quern.llm.keys import canonical_entries
 from quern.llm.runs import first_of_runs
@@ -49,7 +48,6 @@ _TABLES = {
     "links": "a long, b long",
     "members": "entry_id long, batch_no int, node long",
     "frequent": "token string, n long",
-    "codes": "piece string",
 }
 
 
@@ -80,14 +78,11 @@ class StoryIndex:
         nodes = by_title.select("entry_id", F.col("keep_id").alias("t")).distinct().join(by_url.select("entry_id", F.col("keep_id").alias("u")).distinct(), "entry_id", "full")
         nodes = written(nodes, "nodes")
         first = first_per_id(batch)
-        titles = first.join(nodes.where("entry_id = t").select("entry_id"), "entry_id").select("title_key", F.col("entry_id").alias("node"), "hard", "short", "upper", "soft", "names")
+        titles = first.join(nodes.where("entry_id = t").select("entry_id"), "entry_id").select("title_key", F.col("entry_id").alias("node"), "hard", "soft", "names")
         urls = first.join(nodes.where("entry_id = u").select("entry_id"), "entry_id").select("url_key", F.col("entry_id").alias("node"))
         titles = written(titles.join(self.read("titles").withColumnRenamed("node", "known"), "title_key", "left"), "titles")
         urls = written(urls.join(self.read("urls").withColumnRenamed("node", "known"), "url_key", "left"), "urls")
         new = titles.where("known is null")
-        if not self._has("codes"):
-            self._append("codes", _codes(new))
-        new = written(_with_codes(new, {r.piece for r in self.read("codes").collect()}), "new")
         if not self._has("frequent"):
             self._append("frequent", _frequent(new))
         postings = written(self._postings(new), "postings")
@@ -140,28 +135,6 @@ def _frequent(titles: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(n)).where(F.col("n") > F.greatest(F.col("titles") * FREQUENT_SHARE, F.lit(10))).select("token", "n")
 
 
-def _codes(titles: DataFrame) -> DataFrame:
-    """The short pieces that are mostly in capitals; at most 26 + 26^2 + 26^3 rows."""
-    told = titles.select(F.explode("upper").alias("x")).select(F.expr("substring(x, 1, length(x) - 1)").alias("piece"), F.when(F.expr("right(x, 1) = '+'"), 1).otherwise(-1).alias("vote"))
-    return told.groupBy("piece").agg(F.sum("vote").alias("votes")).where("votes > 0").select("piece")
-
-
-def _with_codes(titles: DataFrame, codes: set[str]) -> DataFrame:
-    """(title_key, node, hard, soft, names), the short pieces divided into hard and soft."""
-
-    def make():
-        def step(batch: dict[str, pa.Array]) -> dict[str, list | pa.Array]:
-            hard, soft = [], []
-            for h, short, s in zip(*(batch[n].to_pylist() for n in ("hard", "short", "soft"))):
-                hard.append(sorted([*h, *(x for x in short if x in codes)]))
-                soft.append(sorted({*s, *(x for x in short if x not in codes)}))
-            return {"title_key": batch["title_key"], "node": batch["node"], "hard": hard, "soft": soft, "names": batch["names"]}
-
-        return step
-
-    return map_columns(titles.select("title_key", "node", "hard", "short", "soft", "names"), make, "title_key string, node long, hard array<string>, soft array<string>, names array<string>")
-
-
 def same_story(hard_a: str, soft_a: set[str], names_a: set[str], hard_b: str, soft_b: set[str], names_b: set[str]) -> bool:
     """Whether two titles are light rewordings of each other."""
     if hard_a != hard_b:

@@ -51,6 +51,20 @@ def test_stories(entries, spark):
     assert stories.p7_pairs(entries.limit(0)).count() == 0
 
 
+def test_codes_are_told_by_their_title(spark):
+    hard = {
+        "Torsona dévoile le clé 3A-DE et promet 12 livraisons": ["12", "3a", "de"], "Torsona opens the chip 39\u2011UP for 12 homes": ["12", "39", "up"], "Norkor dévoile 3A DE et promet": ["3a", "de"],
+        "norkor zeigt 3a-de von morgen": ["3a", "de"], "NORKOR ZEIGT 5R RL MIT KÜHLUNG": ["5r", "rl"], "NORKOR ZEIGT 4J-5H VON MORGEN": ["4j", "5h"], "The new Marsona GF-X chip": ["gf", "x"],
+        "Norkor shows A chip for 12 of us": ["12"], "凌频云发布 39-ME芯片": ["39", "me"],
+    }
+    assert {t: words(t)[0] for t in hard} == hard
+    # no code of the later batches is in the history, where the same pieces are common words
+    rows = [(i, 0, f"Marsona {w} le du de up Nr {i}", None, None) for i, w in enumerate(("liefert", "ruft", "testet"), 1)]
+    rows += [(10 + i, 1 + i % 2, f"Fenpelo dévoile le clé sécurisée 3A-{c} et promet 9496 livraisons avant l’été", None, None) for i, c in enumerate(("DE", "LE", "DU", "QX", "QY"))]
+    rows.append((20, 3, "Update : Fenpelo dévoile le clé sécurisée 3A-DE et promet 9496 livraisons avant l’été", None, None))
+    assert {tuple(r) for r in stories.p7_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == {(10, 20)}
+
+
 def test_batch_by_batch_equals_backlog(spark, small):
     from quern.session import table
 
