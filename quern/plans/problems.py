@@ -40,9 +40,17 @@ def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed companies with their status, linked to their question and record."""
-    rows = nested.flat_rows(spread_table(spark, sf_dir, "json_records"), {"manual-review": r"/companies/(?:\[\]|\*)/(?:company|code|status|reason)$"})
-    places = rows.where(F.col("table_path").rlike(r"/companies/(\[\]|\*)$"))
-    return places.select("record_id", "table_path", "row_key", "parent_key", "ordinal", *(F.col("columns").getItem(f"/{c}").alias(c) for c in ("company", "code", "status", "reason")))
+    return companies(spread_table(spark, sf_dir, "json_records"))
+
+
+def companies(records: DataFrame) -> DataFrame:
+    """statuses holds every status of the element by its path within it, also those that have no column of their own; elements of
+    arrays or maps further down that hold one are rows too, found by their table_path."""
+    rows = nested.flat_rows(records, {"manual-review": r"/companies/(?:\[\]|\*)/(?:(?:company|code|reason)$|(?:.*/)?status$)"})
+    places = rows.where(F.col("table_path").rlike(r"/companies/(\[\]|\*)(/|$)"))
+    columns = {"company": "/company", "code": "/code", "status": "/status", "reason": "/reason", "retrieval_status": "/retrieval/status", "answer_status": "/answer/status"}
+    statuses = F.map_filter("columns", lambda k, _: k.endswith("/status")).alias("statuses")
+    return places.select("record_id", "table_path", "row_key", "parent_key", "ordinal", *(F.col("columns").getItem(path).alias(c) for c, path in columns.items()), statuses)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_inferred, p4_found, p6_found, p6_schema, p6_tables, p6_companies)}

@@ -64,3 +64,16 @@ def test_rows_find_their_parents(spark, small):
     levels = {(r.record_kind, r.table_path): r.parent_table for r in nested.table_levels(schema).collect()}
     assert levels["questions", "/questions/[]/goldEvidence/[]"] == "/questions/[]"
     assert {(r.record_kind, r.table_path) for r in rows.select("record_kind", "table_path").distinct().collect() if r.table_path} == set(levels)
+
+
+def test_companies_have_all_their_statuses(spark, small):
+    from quern.plans.problems import companies
+
+    body = {"questions": [{"companies": [{"code": "1", "status": "a", "retrieval": {"status": "b"}, "answer": {"status": "c"}, "x": {"y": {"status": "d"}}, "z": [{"status": "e"}]}]}]}
+    row, deep = companies(spark.createDataFrame([(1, "manual-review", json.dumps(body))], "record_id long, record_kind string, body string")).orderBy("table_path").collect()
+    assert (row.status, row.retrieval_status, row.answer_status) == ("a", "b", "c")
+    assert row.statuses == {"/status": "a", "/retrieval/status": "b", "/answer/status": "c", "/x/y/status": "d"}
+    assert deep.statuses == {"/status": "e"} and deep.parent_key == row.row_key
+    records = table(spark, small, "json_records").where("record_kind = 'manual-review'")
+    got = [v for r in companies(records).collect() for v in r.statuses.values()]
+    assert sorted(got) == sorted(r.leaf_value for r in nested.wanted_leaves(records).collect()) and got
