@@ -83,10 +83,16 @@ def kept_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def classified_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linear classifier fitted on vectors whose id is not divisible by five, applied to the others."""
-    e = table(spark, sf_dir, "embeddings").where("label is not null")
-    model = L.fit_linear(e.where("vec_id % 5 <> 0"), "embedding", "label", "vec_id")
-    return L.predicted(model, e.where("vec_id % 5 = 0"), "embedding").select("vec_id", "label", F.col("prediction").cast("int").alias("predicted"))
+    """A linear classifier applied to all vectors, also those without a label."""
+    return classified(table(spark, sf_dir, "embeddings"))
+
+
+def classified(e: DataFrame) -> DataFrame:
+    """(vec_id, label, predicted, held_out) of every vector. Labelled vectors whose id is divisible by five are held out of the fit."""
+    fitted = F.col("label").isNotNull() & (F.col("vec_id") % 5 != 0)
+    model = L.fit_linear(e.where(fitted), "embedding", "label", "vec_id")
+    held_out = F.coalesce(F.col("label").isNotNull() & (F.col("vec_id") % 5 == 0), F.lit(False)).alias("held_out")
+    return L.predicted(model, e, "embedding").select("vec_id", "label", F.col("prediction").cast("int").alias("predicted"), held_out)
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS hour_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -202,3 +202,13 @@ def test_classifier_held_out(spark):
     assert got.where("prediction = label").count() / got.count() >= 0.95
     weights = {r.label: r.w for r in learning.balanced_weights(e, "label").groupBy("label").agg(F.sum("weight").alias("w")).collect()}
     assert all(abs(w - 100) < 1e-6 for w in weights.values())
+
+
+def test_classifier_covers_every_vector(spark):
+    from quern.plans.chunks import classified
+
+    rng = random.Random(7)
+    rows = [(i, [4.0 * k + rng.gauss(0, 0.3), 1.0 - k], None if i % 3 == 0 else k) for i in range(60) for k in [i % 2]]
+    got = {r.vec_id: r for r in classified(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert set(got) == set(range(60)) and all(r.predicted == i % 2 for i, r in got.items())
+    assert {i for i, r in got.items() if r.held_out} == {i for i in range(60) if i % 5 == 0 and i % 3}
