@@ -1,8 +1,8 @@
 """Problem 6: deeply nested JSON records turned into related flat tables.
 
 Method: one pass infers a merged schema of all bodies: every path with array positions and data-like keys folded to a wildcard, the
-types seen there and how often. The second pass explodes the records level by level along that schema: each array (or object used as
-a map) is a child table, each of its elements a row with a surrogate key, the parent's key, the ordinal, and its scalars as columns.
+types seen there and how often. A pass of its own, which does not use that schema, explodes each record level by level: each array
+(or object used as a map, told object by object) is a child table, each of its elements a row with a surrogate key, the parent's key, the ordinal, and its scalars as columns.
 
 Surrogate keys are made of the record id and the JSON Pointer of the element, so they are the same in every run and on every
 executor, and a child finds its parent without a shuffle. Parsing is done once per pass in Arrow batches; numbers keep their text.
