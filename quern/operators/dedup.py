@@ -12,7 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from quern.functions import text as T
-from quern.session import written
+from quern.functions.arrow import map_columns
+from quern.session import BROADCAST_BYTES, plan_bytes, written
 
 #: Jaccard of shingles, in hundredths so that integers decide; lengths and their ratios, in tenths.
 JACCARD, LEAST_SHINGLED, RATIO_SHINGLED, LEAST_CONTAINED, RATIO_CONTAINED = 88, 120, 7, 100, 6
@@ -26,22 +27,72 @@ def exact_classes(docs: DataFrame, id_col: str, form: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("i"), form.alias("form")).where("form <> ''").groupBy("form").agg(F.min("i").alias("class_id"), F.count(F.lit(1)).alias("n"))
 
 
-def winnowed(form: str) -> list[int]:
-    """The least gram hash of every window, without repetitions."""
-    n = len(form) - _GRAM + 1
+def rolling(form: str, gram: int) -> np.ndarray:
+    """A hash of every stretch of `gram` characters, by position."""
+    n = len(form) - gram + 1
     if n < 1:
-        return []
+        return np.zeros(0, np.int64)
     codes = np.frombuffer(form.encode("utf-32-le"), np.uint32).astype(np.uint64)
     base, hashes = np.uint64(1_000_003), np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(_GRAM):
+        for k in range(gram):
             hashes = hashes * base + codes[k : k + n]
         hashes ^= hashes >> np.uint64(29)
         hashes *= np.uint64(0x9E3779B97F4A7C15)
-    if n <= _WINDOW:
-        return [int(hashes.min().astype(np.int64))]
-    least = np.lib.stride_tricks.sliding_window_view(hashes, _WINDOW).min(axis=1)
-    return np.unique(least).astype(np.int64).tolist()
+    return hashes.view(np.int64)
+
+
+def winnowed(form: str) -> list[int]:
+    """The least gram hash of every window, without repetitions."""
+    hashes = rolling(form, _GRAM)
+    if len(hashes) <= _WINDOW:
+        return [int(hashes.min())] if len(hashes) else []
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, _WINDOW).min(axis=1)).tolist()
+
+
+#: Whole items are looked for by the hash of their first so many characters.
+_ANCHOR = 16
+
+
+def holders(docs: DataFrame, id_col: str, form: Column, items: DataFrame, item_id: str, item_form: Column) -> DataFrame:
+    """(id, item_id) of each document whose form holds the whole form of an item; empty forms hold and are held by nothing.
+
+    The items are a stated set; they go to the executors in blocks below the broadcast bound, each block one pass over the documents.
+    A document is hashed once per anchor length (one length, and one more for each length of items shorter than that).
+    """
+    spark = docs.sparkSession
+    wanted = written(items.select(F.col(item_id).cast("long").alias("item"), item_form.alias("form")).where("item is not null and form <> ''").distinct(), "items")
+    blocks = 1 + plan_bytes(wanted) // BROADCAST_BYTES
+    slim = docs.select(F.col(id_col).cast("long").alias("d"), form.alias("form")).where("d is not null and form <> ''")
+    out = None
+    for b in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        shared = spark.sparkContext.broadcast([(r["item"], r["form"]) for r in part.toLocalIterator()])
+
+        def make(shared=shared):
+            anchors: dict[int, dict[int, list[tuple[int, str]]]] = {}
+            for item, text in shared.value:
+                size = min(len(text), _ANCHOR)
+                anchors.setdefault(size, {}).setdefault(int(rolling(text[:size], size)[0]), []).append((item, text))
+            keys = {size: np.fromiter(found, np.int64) for size, found in anchors.items()}
+
+            def step(batch: dict[str, pa.Array]) -> dict[str, list]:
+                ids, held = [], []
+                for d, text in zip(batch["d"].to_pylist(), batch["form"]):
+                    text = text.as_py()
+                    for size, known in keys.items():
+                        hashes = rolling(text, size)
+                        for h in np.unique(hashes[np.isin(hashes, known)]).tolist():
+                            hit = [item for item, form in anchors[size][h] if form in text]
+                            ids += [d] * len(hit)
+                            held += hit
+                return {"d": ids, "item": held}
+
+            return step
+
+        found = map_columns(slim, make, "d long, item long")
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("d").alias(id_col), F.col("item").alias(item_id)).distinct()
 
 
 def _containment(classes: DataFrame) -> DataFrame:
@@ -62,7 +113,7 @@ def _containment(classes: DataFrame) -> DataFrame:
     posted = written(classes.where(F.length("form") >= LEAST_CONTAINED).select("class_id", "form").mapInArrow(prints, schema), "prints")
     often = posted.groupBy("print").agg(F.count(F.lit(1)).alias("df"))
     probe = posted.join(often, "print").groupBy("class_id", "len").agg(F.min_by("print", F.struct("df", "print")).alias("print"))
-    pairs = probe.alias("p").join(posted.alias("o"), "print").where("p.class_id <> o.class_id and p.len <= o.len and 10 * p.len >= 6 * o.len")
+    pairs = probe.alias("p").join(posted.alias("o"), "print").where(f"p.class_id <> o.class_id and p.len <= o.len and 10 * p.len >= {RATIO_CONTAINED} * o.len")
     pairs = pairs.select(F.col("p.class_id").alias("short"), F.col("o.class_id").alias("long")).distinct()
     forms = classes.select("class_id", "form")
     both = pairs.join(forms.withColumnsRenamed({"class_id": "short", "form": "fs"}), "short").join(forms.withColumnsRenamed({"class_id": "long", "form": "fl"}), "long")

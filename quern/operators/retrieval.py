@@ -8,7 +8,7 @@ the smaller id, so ranks do not depend on the order of addition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import is_small, written
@@ -29,14 +29,15 @@ def bm25(docs: DataFrame, id_col: str, tokens: Column, queries: DataFrame, query
     asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(query_tokens)).alias("token"))
     wanted = asked.select("token").distinct()
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    sizes = Observation()
     lengths = docs.select(F.col(id_col).alias("d"), tokens.alias("tokens"), kept.alias("kept"))
-    lengths = lengths.select("d", "kept", "tokens", F.size("tokens").alias("len")).observe(sizes, F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
-    postings = lengths.select("d", "kept", "len", F.explode("tokens").alias("token")).join(_maybe_broadcast(wanted), "token", "left_semi")
-    # the texts are tokenised in one pass, which also gives the statistics
-    tf = written(postings.groupBy("token", "d", "kept", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    n_docs, total = sizes.get["n"], sizes.get["total"] or 0
+    # one pass over the texts: beside its tokens each document has a row without a token, which the statistics are counted from
+    every = lengths.select("d", "kept", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("token"))
+    told = every.join(_maybe_broadcast(wanted.withColumn("asked", F.lit(True))), "token", "left").where("asked or token is null")
+    tf = written(told.groupBy("token", "d", "kept", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    sizes = tf.where("token is null").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("len")).alias("total")).first()
+    n_docs, total = sizes["n"] or 0, sizes["total"] or 0
     avg_len = total / n_docs if total else 1.0
+    tf = tf.where("token is not null")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "token").select("q", "token", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))

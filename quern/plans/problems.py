@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import nested, timestamps, units
-from quern.session import spread_table, table
+from quern.session import spread_table, table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +34,15 @@ def p6_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All flat tables in one: a row per element, with its parent's key, ordinal and number of columns."""
-    rows = nested.flat_rows(spread_table(spark, sf_dir, "json_records"))
+    rows = nested.exploded(spread_table(spark, sf_dir, "json_records"))
     return rows.select("record_id", "table_path", "row_key", "parent_key", "ordinal", F.size("columns").alias("n_columns"))
 
 
+def p6_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables the merged schema asks for, with the table each hangs on."""
+    return nested.table_levels(written(nested.merged_schema(spread_table(spark, sf_dir, "json_records")), "schema"))
+
+
 def p6_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed companies with their status, linked to their question and record."""
     return companies(spread_table(spark, sf_dir, "json_records"))
@@ -46,12 +51,46 @@ def p6_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def companies(records: DataFrame) -> DataFrame:
     """statuses holds every status of the element by its path within it, also those that have no column of their own; elements of
     arrays or maps further down that hold one are rows too, found by their table_path."""
-    rows = nested.flat_rows(records, {"manual-review": r"/companies/(?:\[\]|\*)/(?:(?:company|code|reason)$|(?:.*/)?status$)"})
+    rows = nested.exploded(records, wanted={"manual-review": r"/companies/(?:\[\]|\*)/(?:(?:company|code|reason)$|(?:.*/)?status$)"})
     places = rows.where(F.col("table_path").rlike(r"/companies/(\[\]|\*)(/|$)"))
     columns = {"company": "/company", "code": "/code", "status": "/status", "reason": "/reason", "retrieval_status": "/retrieval/status", "answer_status": "/answer/status"}
     statuses = F.map_filter("columns", lambda k, _: k.endswith("/status")).alias("statuses")
     return places.select("record_id", "table_path", "row_key", "parent_key", "ordinal", *(F.col("columns").getItem(path).alias(c) for c, path in columns.items()), statuses)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_inferred, p4_found, p6_found, p6_schema, p6_tables, p6_companies)}
+def _levels(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The tables of one kind of record, exploded once and stored by level."""
+    return written(nested.exploded(spread_table(spark, sf_dir, "json_records").where(F.col("record_kind") == kind)), "levels")
+
+
+def _ending(name: str) -> Column:
+    """The first column of a row whose path ends with the name."""
+    found = F.map_filter("columns", lambda k, _: k.endswith(f"/{name}"))
+    return F.get(F.map_values(found), F.lit(0)).alias(name)
+
+
+def p6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold evidence (a table of its own) with its code, page and unit, joined to the question it belongs to (the table above)."""
+    rows = _levels(spark, sf_dir, "questions")
+    evidence = rows.where(F.col("table_path").rlike(r"/goldEvidence/(\[\]|\*)$"))
+    above = rows.select(F.col("row_key").alias("parent_key"), F.col("table_path").alias("parent_table"), F.col("columns").getItem("/id").alias("question_id"))
+    told = evidence.select("record_id", "row_key", "parent_key", "ordinal", *map(_ending, ("code", "pdfPage", "unit")))
+    return told.join(above, "parent_key").select("record_id", "row_key", "parent_key", "parent_table", "ordinal", "question_id", "code", "pdfPage", "unit")
+
+
+def p6_evidence_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of gold evidence, each joined to its evidence by the parent's key."""
+    rows = _levels(spark, sf_dir, "questions")
+    values = rows.where(F.col("table_path").rlike(r"/goldEvidence/.*values/\[\]$")).select("record_id", "row_key", "parent_key", "ordinal", F.explode("columns").alias("column", "value"))
+    above = rows.select(F.col("row_key").alias("parent_key"), F.col("table_path").alias("parent_table"), F.col("ordinal").alias("evidence_no"))
+    return values.join(above, "parent_key").select("record_id", "row_key", "parent_key", "parent_table", "evidence_no", "ordinal", "column", "value")
+
+
+def p6_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with their table-method counts, one row a method, under the key of the report's row."""
+    rows = nested.exploded(spread_table(spark, sf_dir, "json_records"), wanted={"manifest": nested.WANTED["manifest"]})
+    return rows.select("record_id", "table_path", "row_key", "parent_key", "ordinal", F.explode("columns").alias("column", "n_tables"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_inferred, p4_found, p6_found, p6_schema, p6_levels, p6_tables, p6_companies, p6_evidence, p6_evidence_values, p6_methods)}
 SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import retrieval as R
+from quern.operators.dedup import holders
 from quern.plans.base import Registry
 from quern.plans.texts import sql_char_bigrams, sql_norm, sql_tokens
 from quern.session import spread_table, table
@@ -97,38 +98,34 @@ def vector_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH " + _sql_bm25("SELECT doc_id AS id, text, true AS kept FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)", "SELECT vec_id AS q, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0", sql_tokens("text"), sql_tokens("text"), 1.2, 0.75)
+    "WITH " + _sql_bm25(_DOCS, "SELECT vec_id AS q, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0", sql_tokens("text"), sql_tokens("text"), 1.2, 0.75)
     + f""", {_SQL_DENSE},
     a AS (SELECT * FROM (SELECT q, id, score AS score_a, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank_a FROM bm WHERE score > 0) WHERE rank_a <= 50),
     b AS (SELECT * FROM (SELECT q, id, score AS score_b, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank_b FROM dn) WHERE rank_b <= 50),
     f AS (SELECT *, round(coalesce(1 / (60 + rank_a), 0) + coalesce(1 / (60 + rank_b), 0), 9) AS score FROM a FULL JOIN b USING (q, id))
-    SELECT q AS query_id, id AS vec_id, score_a, rank_a, score_b, rank_b, score, hybrid_rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS hybrid_rank FROM f) WHERE hybrid_rank <= 10
+    SELECT q AS query_id, id AS doc_id, score_a, rank_a, score_b, rank_b, score, hybrid_rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS hybrid_rank FROM f) WHERE hybrid_rank <= 10
     """
 )
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts and vectors of the same ids, fused."""
-    e, d = table(spark, sf_dir, "embeddings"), spread_table(spark, sf_dir, "documents")
-    docs = d.join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("vec_id"), "text")
-    asked = docs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "text")
-    words = R.bm25(docs, "vec_id", T.tokenize(F.col("text")), asked, "query_id", T.tokenize(F.col("text")))
-    return R.rrf(words, _dense(spark, sf_dir), "query_id", "vec_id")
+    """Words of all documents and all vectors, fused; a document without a vector can be a hit by its words alone, and the other way round."""
+    e, docs = table(spark, sf_dir, "embeddings"), spread_table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 50 = 0").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
+    words = R.bm25(docs, "doc_id", T.tokenize(F.col("text")), asked, "query_id", T.tokenize(F.col("text")))
+    return R.rrf(words, _dense(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), "query_id", "doc_id")
 
 
 @query(
     "WITH " + _sql_bm25(_DOCS, _ITEMS, sql_tokens("text"), sql_tokens("text"), 1.2, 0.75)
     + f""", hits AS ({_TOP}),
-    gold AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, substr({sql_norm('text')}, 1, 40) AS k FROM eval_items WHERE length({sql_norm('text')}) >= 40), (SELECT doc_id, {sql_norm('text')} AS n FROM documents WHERE text IS NOT NULL) WHERE contains(n, k)),
+    gold AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, {sql_norm('text')} AS k FROM eval_items WHERE {sql_norm('text')} <> ''), (SELECT doc_id, {sql_norm('text')} AS n FROM documents WHERE text IS NOT NULL) WHERE contains(n, k)),
     f AS (SELECT gold.item_id, count(*) AS n_gold, count(rank) AS n_found, min(rank) AS first_rank FROM gold LEFT JOIN hits USING (item_id, doc_id) GROUP BY gold.item_id)
     SELECT item_id, n_gold, n_found, round(n_found / n_gold, 6) AS recall, coalesce(round(1 / first_rank, 6), 0) AS reciprocal_rank FROM f
     """
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold documents hold the first forty normalised characters of an item; the items are one broadcast array, tested in one pass over the documents."""
-    items = table(spark, sf_dir, "eval_items").select("item_id", T.normal_form(F.col("text")).alias("n")).where("length(n) >= 40")
-    keys = items.agg(F.collect_list(F.struct("item_id", F.substring("n", 1, 40).alias("k"))).alias("keys"))
-    docs = spread_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.normal_form(F.col("text")).alias("n"))
-    held = docs.crossJoin(F.broadcast(keys)).select("doc_id", F.explode(F.filter("keys", lambda x: F.contains(F.col("n"), x["k"]))).alias("m"))
-    gold = held.select(F.col("m.item_id").alias("item_id"), "doc_id").distinct()
+    """Gold documents hold an item's whole normal form."""
+    docs, items = spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    gold = holders(docs, "doc_id", T.normal_form(F.col("text")), items, "item_id", T.normal_form(F.col("text")))
     return R.reciprocal_ranks(R.ranked(_scores(spark, sf_dir), ["item_id"], "doc_id"), gold, "item_id", "doc_id")
 
 

@@ -111,7 +111,7 @@ def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT title || '第' || article || '条' AS law, count(*) AS n_citations, count(DISTINCT doc_id) AS n_docs
-    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '《([^《》\\n]{2,100})》第([零〇一二两三四五六七八九十百千万]+)条', 1)) AS title, unnest(regexp_extract_all(text, '《([^《》\\n]{2,100})》第([零〇一二两三四五六七八九十百千万]+)条', 2)) AS article FROM documents)
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '《([^《》\\n]+)》第([零〇一二两三四五六七八九十百千万]+)条', 1)) AS title, unnest(regexp_extract_all(text, '《([^《》\\n]+)》第([零〇一二两三四五六七八九十百千万]+)条', 2)) AS article FROM documents)
     GROUP BY ALL
 """)
 def law_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def law_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = F.lit(r"《([^《》\n]{2,100})》第([零〇一二两三四五六七八九十百千万]+)条")
+    pattern = F.lit(r"《([^《》\n]+)》第([零〇一二两三四五六七八九十百千万]+)条")
     found = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("title"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("article"))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.title", "m.article")
 

@@ -51,14 +51,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
 
 
+_scratch: dict[str, set[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: what is computed once survives the loss of executors, and its lineage is cut."""
+    """The same rows, read back from a table in the shared folder: what is computed once survives the loss of executors, and its lineage is cut.
+
+    The folder is the session's until `clear_scratch` or the end of the application.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if not _scratch:
+        atexit.register(_forget_all)
+    _scratch.setdefault(spark.sparkContext.applicationId, set()).add(path.rpartition("/")[0])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written, once the results made of them are stored. How many there were."""
+    folders = _scratch.pop(spark.sparkContext.applicationId, set())
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
+def _forget_all() -> None:
+    """At the end of the process: what is still there goes, if the session still runs."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
+            clear_scratch(spark)
+    except Exception:  # noqa: BLE001  the JVM may be gone; the shared folder's owner clears the rest
+        pass
+
+
 _shipped: set[str] = set()
 
 
@@ -83,12 +111,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _splits(df: DataFrame) -> int:
+    """How many splits a scan's files give at most, told from their number and the plan's size, without running or planning anything."""
+    most = int(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    return max(len(df.inputFiles()), plan_bytes(df) // most)
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table for work that is heavy per row. If its files give fewer splits than the cluster has cores (a lone small file, say), its
     rows are dealt out once; a table of many splits, as any large one is, is read as it lies."""
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if _splits(df) >= cores else df.repartition(cores)
 
 
 def plan_bytes(df: DataFrame) -> int:

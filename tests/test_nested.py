@@ -37,7 +37,7 @@ def test_against_brute_force(spark, small):
 
 
 def test_odd_bodies(spark):
-    deep = '{"companies":' + "[" * 3000 + "]" * 3000 + "}"
+    deep = '{"companies":' + "[" * 30000 + "]" * 30000 + "}"
     bodies = [
         ("manifest", '﻿{"reports":[{"tableMethods":{"a/b~":1.50,"n":null,"x":[true,"y"]}}]}'),
         ("manifest", json.dumps(json.dumps({"tableMethods": {"m": 1e3}}))),
@@ -56,7 +56,7 @@ def test_odd_bodies(spark):
 
 
 def test_rows_find_their_parents(spark, small):
-    rows = nested.flat_rows(table(spark, small, "json_records"))
+    rows = nested.exploded(table(spark, small, "json_records"))
     keys = {r.row_key for r in rows.select("row_key").collect()}
     for r in rows.select("parent_key", "table_path").collect():
         assert (r.parent_key in keys) if r.table_path else r.parent_key is None
@@ -77,3 +77,41 @@ def test_companies_have_all_their_statuses(spark, small):
     records = table(spark, small, "json_records").where("record_kind = 'manual-review'")
     got = [v for r in companies(records).collect() for v in r.statuses.values()]
     assert sorted(got) == sorted(r.leaf_value for r in nested.wanted_leaves(records).collect()) and got
+
+
+def test_no_depth_and_no_number_of_encodings_is_too_much(spark):
+    body = json.dumps({"tableMethods": {"m": 3}})
+    for _ in range(9):
+        body = json.dumps(body)
+    deep = '{"companies":' + "[" * 25000 + '{"status":"x","a":1.50}' + "]" * 25000 + "}"
+    chain = '{"a":' * 12000 + '{"companies":{"b":{"c":[{"d":{"status":"y"}}]}}}' + "}" * 12000
+    inner = '{"companies":' + '{"a":' * 3000 + '{"companies":{"q":{"status":"z"}}}' + "}" * 3001
+    rows = [(1, "manifest", body), (2, "manual-review", deep), (3, "manual-review", chain), (4, "manual-review", inner), (5, "manual-review", deep[:-1])]
+    got = {r.record_id: (r.leaf_path, r.leaf_value) for r in nested.wanted_leaves(spark.createDataFrame(rows, "record_id long, record_kind string, body string")).collect()}
+    assert got == {
+        1: ("/tableMethods/m", "3"), 2: ("/companies" + "/0" * 25000 + "/status", "x"), 3: ("/a" * 12000 + "/companies/b/c/0/d/status", "y"), 4: ("/companies" + "/a" * 3000 + "/companies/q/status", "z"),
+    }
+
+
+def test_parser_without_recursion_agrees_with_the_library():
+    texts = ['{"a":[1,2.50,-3e5,{"b":null,"c":true}],"a":"x"}', "[]", "{}", '"x"', "1", '[[],{}]', '{"a":{"b":[]}}', "  [1 , 2 ] "]
+    bad = ["", "[", "]", "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", "1 2", '{"a":1,}', "{1:2}", "[1}", "nul", '["a', "[,1]", "{}[]", '{"a":1 "b":2}']
+    for t in texts:
+        assert nested.parse_nested(t) == nested._DECODER.decode(t.strip())
+    for t in bad:
+        for parse in (nested.parse_nested, nested._DECODER.decode):
+            try:
+                parse(t)
+            except ValueError:
+                continue
+            raise AssertionError(t)
+
+
+def test_children_join_their_parents(spark, small):
+    from quern.plans import problems
+
+    evidence, values = problems.p6_evidence(spark, small).collect(), problems.p6_evidence_values(spark, small).collect()
+    keys = {r.row_key for r in evidence}
+    assert evidence and values and all(r.parent_key in keys for r in values if r.parent_table.endswith("/goldEvidence/[]"))
+    leaves = [r.leaf_value for r in nested.wanted_leaves(table(spark, small, "json_records").where("record_kind = 'questions'")).collect()]
+    assert len(values) <= len(leaves)

@@ -204,6 +204,31 @@ def test_classifier_held_out(spark):
     assert all(abs(w - 100) < 1e-6 for w in weights.values())
 
 
+def test_classifier_predicts_after_observation_in_the_same_session(spark):
+    from pyspark.sql import Observation
+
+    e = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2], i % 2) for i in range(40)], "vec_id long, embedding array<float>, label int")
+    model = learning.fit_linear(e, "embedding", "label", "vec_id")
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 5
+    again = learning.fit_linear(e, "embedding", "label", "vec_id")
+    for m in (model, again):
+        assert learning.predicted(m, e, "embedding").where("prediction = label").count() == 40
+    odd = spark.createDataFrame([(1, None), (2, [1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [r.prediction for r in learning.predicted(model, odd, "embedding").orderBy("vec_id").collect()] == [None, None, 0.0]
+
+
+def test_items_held_whole(spark):
+    rng = random.Random(3)
+    items = ["a" * 5, "b", "", "甲" * 30, "x" * 100, "".join(rng.choice("abc") for _ in range(16)), None]
+    texts = [rng.choice(["", "zz"]) + (rng.choice(items) or "q") + "".join(rng.choice("abcx甲") for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["", None, "x" * 99]
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "d long, t string"), spark.createDataFrame(list(enumerate(items)), "i long, t string")
+    got = {tuple(r) for r in dedup.holders(docs, "d", F.col("t"), asked, "i", F.col("t")).collect()}
+    assert got == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if t and x and x in t}
+    assert dedup.holders(docs.limit(0), "d", F.col("t"), asked, "i", F.col("t")).count() == 0 == dedup.holders(docs, "d", F.col("t"), asked.limit(0), "i", F.col("t")).count()
+
+
 def test_classifier_covers_every_vector(spark):
     from quern.plans.chunks import classified
 
