@@ -55,7 +55,7 @@ def _single_forms() -> dict[str, str]:
     return {k: v for k, v in out.items() if k not in "ΩKÅ℃℉№™ℓ℮℗"}
 
 
-_FORMS = _single_forms() | {"K": "K", "Å": "Å", "Ω": "Ω"}
+_FORMS = _single_forms() | {"\u212a": "K", "\u212b": "\u00c5", "\u2126": "\u03a9"}
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 _EMOJI = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{2190}-\x{21FF}\x{200D}\x{FE0F}©®0-9#*"
@@ -78,9 +78,13 @@ def _class(chars) -> str:
     return "".join(f"\\x{{{ord(c):X}}}" for c in chars)
 
 
+def _only(text: str, chars: str, step: str) -> str:
+    """The step, taken only where the text has one of the characters (a class's inside); elsewhere it would change nothing."""
+    return f"CASE WHEN regexp_matches({text}, '[{chars}]') THEN {step} ELSE {text} END"
+
+
 def _sql() -> str:
     """The query over table batch(k, t): the clean text of each row, by steps."""
-    forms_from, forms_to = "".join(_FORMS), "".join(_FORMS.values())
     like_from, like_to = "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values())
     like = _class(LOOK_ALIKES)
     mixed = f"[{_LATIN}][{_WORD}]*[{like}]|[{like}][{_WORD}]*[{_LATIN}]"
@@ -91,18 +95,29 @@ def _sql() -> str:
         protect = f"regexp_replace({protect}, '([{_JOINED}])\\x{{200C}}([{_JOINED}])', '\\1﷒\\2', 'g')"
         protect = f"regexp_replace({protect}, '([{_JOINED}])\\x{{200D}}([{_JOINED}])', '\\1﷐\\2', 'g')"
     protect = f"regexp_replace({protect}, '([{_PICTURE}©®0-9#*])\\x{{FE0F}}', '\\1﷑', 'g')"
+    protect = _only("t", "\\x{200C}\\x{200D}\\x{FE0F}", protect)
     visible = f"regexp_replace(t, '[{_ORDINARY_INVISIBLE}\\x{{200C}}\\x{{200D}}]', '', 'g')"
     wide = r"([\x{FF10}-\x{FF19}])\x{FF0E}([\x{FF10}-\x{FF19}])"
     plain = f"regexp_replace(regexp_replace(t, '{wide}', '\\1.\\2', 'g'), '{wide}', '\\1.\\2', 'g')"  # twice, as neighbours share a digit
-    plain = f"translate({plain}, {_quote(forms_from)}, {_quote(forms_to)})"
+    plain = _only("t", r"\x{FF0E}", plain)
+    # building a translation costs in proportion to its size, so it is built only for texts with one of its characters, and the common ones apart
+    usual = {k: v for k, v in _FORMS.items() if "\u2000" <= k <= "\u3000" or k >= "\uff00" or k == "\xa0"}
+    steps = [f"SELECT k, raw, {plain} AS t FROM s1"]
+    for forms in (usual, {k: v for k, v in _FORMS.items() if k not in usual}):
+        steps.append(_only("t", _class(forms), f"translate(t, {_quote(''.join(forms))}, {_quote(''.join(forms.values()))})"))
+    ligatures = "t"
     for k, v in _LIGATURES.items():
-        plain = f"replace({plain}, {_quote(k)}, {_quote(v)})"
+        ligatures = f"replace({ligatures}, {_quote(k)}, {_quote(v)})"
+    steps.append(_only("t", _class(_LIGATURES), ligatures))
+    forms_sql = steps[0]
+    for step in steps[1:]:
+        forms_sql = f"SELECT k, raw, {step} AS t FROM ({forms_sql})"
     words = f"list_transform(regexp_extract_all(t, '[{_WORD}]+|[^{_WORD}]+'), lambda w: CASE WHEN regexp_matches(w, {_quote(mixed)}) THEN translate(w, {_quote(like_from)}, {_quote(like_to)}) ELSE w END)"
     return f"""
         WITH s0 AS (SELECT k, t AS raw, {protect} AS t FROM batch WHERE regexp_matches(t, {_quote(odd)})),
              s1 AS (SELECT k, raw, {visible} AS t FROM s0),
-             s2 AS (SELECT k, raw, {plain} AS t FROM s1),
-             s3 AS (SELECT k, raw, nfc_normalize(array_to_string({words}, '')) AS t FROM s2)
+             s2 AS ({forms_sql}),
+             s3 AS (SELECT k, raw, nfc_normalize({_only("t", like, f"array_to_string({words}, '')")}) AS t FROM s2)
         SELECT k, translate(t, '﷐﷑﷒', {_quote("".join(_KEEP))}) AS t FROM s3
         WHERE translate(t, '﷐﷑﷒', {_quote("".join(_KEEP))}) <> raw
     """
@@ -132,14 +147,24 @@ class Cleaner:
         return result
 
 
+_cleaners: list[Cleaner] = []
+
+
+def cleaner() -> Cleaner:
+    """This worker process's cleaner, made for its first task and kept for the others."""
+    if not _cleaners:
+        _cleaners.append(Cleaner())
+    return _cleaners[0]
+
+
 def clean_texts(df: DataFrame, id_col: str, text_col: str, only_changed: bool = False) -> DataFrame:
     """(record_id, clean_text, changed) per row; with only_changed just the rows whose text is a case."""
 
     def make():
-        cleaner = Cleaner()
+        tool = cleaner()
 
         def step(batch: dict[str, pa.Array]) -> dict[str, list]:
-            where, texts = cleaner.changed(batch["t"])
+            where, texts = tool.changed(batch["t"])
             ids = batch["i"].to_pylist()
             if only_changed:
                 return {"record_id": [ids[k] for k in where], "clean_text": texts, "changed": [True] * len(where)}

@@ -1,16 +1,42 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond").
 
 Each round is written to the shared folder, so lineage stays short and a lost executor costs one round. Minima are aggregated
-before the shuffle; nothing but a checksum comes to the driver.
+before the shuffle; nothing but a checksum comes to the driver. Links up to FEW, which one task holds in a few megabytes, are put
+together by that task instead; the components are the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.session import written
 
+#: So many links at most are handled by one task.
+FEW = 200_000
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        at = x
+        while (up := least.setdefault(at, at)) != at:
+            at = up
+        while least[x] != at:
+            least[x], x = at, least[x]
+        return at
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = sorted((root(u), root(v)))
+            least[b] = a
+    nodes = list(least)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], names=["node", "component"])
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges holds u, v with u > v. Large: of u's neighbours (either way) those above u get u's minimum; small: those below."""
@@ -27,6 +53,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected links (a, b); the component is named by its smallest node."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if edges.count() <= FEW:
+        return edges.repartition(1).mapInArrow(_in_one_task, "node long, component long")
     before = None
     while True:
         edges = written(_star(_star(edges, True), False), "edges")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quern.functions.arrow import map_columns
-from quern.llm.characters import Cleaner
+from quern.llm.characters import cleaner
 
 # Parameters that only track where a reader came from; names beginning with utm_ as well.
-TRACKING = {"gclid", "fbclid", "at_medium", "at_campaign", "ref", "ref_src", "spm", "from", "source", "mc_cid", "mc_eid"}
-_ADDRESS = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?", re.DOTALL)
+TRACKING = ("gclid", "fbclid", "at_medium", "at_campaign", "ref", "ref_src", "spm", "from", "source", "mc_cid", "mc_eid")
+_ADDRESS = r"(?s)^(?U:\s*)(?i:https)://([^/?#]*)([^?#]*?)/*(?:\?([^#]*?))?(?:#.*)?(?U:\s*)\z"
+_TRACKS = rf"(?i)^(utm_[^=]*|{'|'.join(TRACKING)})(=.*)?$"
 
 
 _NO_KEY = re.compile(r"[\W_]+")
@@ -25,21 +27,12 @@ def title_key(clean_title: str | None) -> str | None:
     return _NO_KEY.sub("", clean_title.casefold()) or None
 
 
-def url_key(url: str | None) -> str | None:
-    """The address without what does not change its target; None if it is no https address."""
-    m = _ADDRESS.fullmatch((url or "").strip())
-    if not m or m[1].lower() != "https":
-        return None
-    host = m[2].lower().removesuffix(":443").removeprefix("www.")
-    if not host:
-        return None
-    parts = [p for p in (m[4] or "").split("&") if p and not _tracks(p)]
-    return host + m[3].rstrip("/") + ("?" + "&".join(sorted(parts)) if parts else "")
-
-
-def _tracks(parameter: str) -> bool:
-    name = parameter.partition("=")[0].lower()
-    return name.startswith("utm_") or name in TRACKING
+def url_key(url: Column) -> Column:
+    """The address without what does not change its target, inside generated code; null if it is no https address."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _ADDRESS, 1)), r"^www\.|:443$", "")
+    parameters = F.array_sort(F.filter(F.split(F.regexp_extract(url, _ADDRESS, 3), "&"), lambda p: (p != "") & ~F.regexp_like(p, F.lit(_TRACKS))))
+    query = F.when(F.size(parameters) > 0, F.concat(F.lit("?"), F.array_join(parameters, "&"))).otherwise("")
+    return F.when(F.regexp_like(url, F.lit(_ADDRESS)) & (host != ""), F.concat(host, F.regexp_extract(url, _ADDRESS, 2), query))
 
 
 _IDEOGRAPHS = "぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
@@ -111,16 +104,11 @@ def canonical_entries(entries: DataFrame, with_words: bool = False) -> DataFrame
     """(entry_id, batch_no, title_key, url_key[, hard, soft with the short words, names]) of entries with an id; keys are null where there is none."""
 
     def make():
-        cleaner = Cleaner()
+        tool = cleaner()
 
         def step(batch: dict[str, pa.Array]) -> dict[str, list | pa.Array]:
-            titles = cleaner.clean(batch["title"])
-            out = {
-                "entry_id": batch["entry_id"],
-                "batch_no": batch["batch_no"],
-                "title_key": [title_key(t) for t in titles],
-                "url_key": [url_key(u) for u in batch["url"].to_pylist()],
-            }
+            titles = tool.clean(batch["title"])
+            out = {"entry_id": batch["entry_id"], "batch_no": batch["batch_no"], "title_key": [title_key(t) for t in titles], "url_key": batch["url_key"]}
             if with_words:
                 told = [words(t) for t in titles]
                 out |= {"hard": [h for h, *_ in told], "soft": [sorted({*short, *soft}) for _, short, _, soft, _ in told], "names": [names for *_, names in told]}
@@ -128,6 +116,6 @@ def canonical_entries(entries: DataFrame, with_words: bool = False) -> DataFrame
 
         return step
 
-    slim = entries.selectExpr("cast(entry_id as long) as entry_id", "cast(batch_no as int) as batch_no", "title", "url").where("entry_id is not null")
+    slim = entries.select(F.col("entry_id").cast("long").alias("entry_id"), F.col("batch_no").cast("int").alias("batch_no"), "title", url_key(F.col("url")).alias("url_key")).where("entry_id is not null")
     more = "".join(f", {c} array<string>" for c in ("hard", "soft", "names")) if with_words else ""
     return map_columns(slim, make, _SCHEMA + more)
