@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -113,8 +114,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _splits(df: DataFrame) -> int:
     """How many splits a scan's files give at most, told from their number and the plan's size, without running or planning anything."""
-    most = int(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    return max(len(df.inputFiles()), plan_bytes(df) // most)
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return max(len(df.inputFiles()), plan_bytes(df) // (int(number) << 10 * " kmgt".index(unit or " ")))
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
