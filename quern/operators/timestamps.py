@@ -1,9 +1,10 @@
 """Problem 4: timestamps in mixed notations and zones normalised to microseconds since 1970-01-01 UTC.
 
 Method: the raw strings are deduplicated, with the zone and the day/month order that apply to them, into a dictionary of distinct
-values. Each value is parsed once, exhaustively, and the dictionary is written to the shared folder; later runs parse only values it
-does not hold yet. The instants are then joined back to the rows. Values that occur very often are joined by broadcast (there are at
-most HOT_SHARE of them, whatever the data), all others by a shuffled join, so a value that a third of the rows hold makes no hot task.
+values. Each value is parsed once, exhaustively, and the dictionary is kept in the shared folder; later runs parse only values it
+does not hold yet. The instants are then joined back to the rows. Values that occur very often in the rows at hand are joined by
+broadcast (there are at most 1 / HOT_SHARE of them, whatever the data), all others by a shuffled join, so a value that a third of the
+rows hold makes no hot task.
 
 Defined cases: null, blank and unreadable values, impossible dates and local times that a zone skipped name no moment and give no
 row; of a repeated local hour the earlier is meant; digits finer than a microsecond are cut off; 24:00 is the next midnight; a feed
@@ -19,17 +20,20 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.arrow import map_columns
 from quern.functions.fold import nfkc
-from quern.session import scratch_path
+from quern.session import shared_dir, written
 
 FIELDS = ("pub_date", "published", "updated")
 #: A value held by more than this share of all rows is joined by broadcast; so there are at most 1 / HOT_SHARE such values.
 HOT_SHARE = 1e-3
 
+#: Part of the dictionary's name: to be raised when a value is to be read otherwise than before.
+DICTIONARY_VERSION = 1
+
 # Month names (English, German, French), by prefix or whole word.
 _MONTH_WORDS = {
     1: "jan january januar jänner janvier janv", 2: "feb february februar février fevrier févr fév", 3: "mar march märz maerz mrz mär mars",
@@ -199,7 +203,7 @@ def raw_values(entries: DataFrame, sources: DataFrame, fields: tuple[str, ...] =
 def _parser():
     def step(batch: dict[str, pa.Array]) -> dict[str, list | pa.Array]:
         values = [parse_moment(r, z, m) for r, z, m in zip(*(batch[n].to_pylist() for n in ("raw", "tz_name", "month_first")))]
-        return {"raw": batch["raw"], "tz_name": batch["tz_name"], "month_first": batch["month_first"], "n": batch["n"], "epoch_us": values}
+        return {"raw": batch["raw"], "tz_name": batch["tz_name"], "month_first": batch["month_first"], "epoch_us": values}
 
     return step
 
@@ -211,29 +215,38 @@ def _same(a: DataFrame, b: DataFrame):
     return (a["raw"] == b["raw"]) & a["tz_name"].eqNullSafe(b["tz_name"]) & (a["month_first"] == b["month_first"])
 
 
-def extend_dictionary(values: DataFrame, path: str) -> DataFrame:
+_DICTIONARY = "raw string, tz_name string, month_first boolean, epoch_us long"
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct values parsed so far. Two runs that extend it at the same time may both hold a value, with the same result; it is given once."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], _DICTIONARY)
+    return spark.read.schema(_DICTIONARY).parquet(path).groupBy(*_KEYS).agg(F.first("epoch_us").alias("epoch_us"))
+
+
+def extend_dictionary(counts: DataFrame, path: str) -> DataFrame:
     """Parse the distinct values that the dictionary at path does not hold yet, append them to it, and return the whole dictionary."""
-    spark = values.sparkSession
-    new = values.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"))
-    schema = "raw string, tz_name string, month_first boolean, n long, epoch_us long"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        known = spark.read.schema(schema).parquet(path)
-        new = new.join(known, _same(new, known), "left_anti")
-    map_columns(new, _parser, schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    known = read_dictionary(counts.sparkSession, path)
+    new = counts.join(known, _same(counts, known), "left_anti")
+    map_columns(new.select(*_KEYS), _parser, _DICTIONARY).write.mode("append").parquet(path)
+    return read_dictionary(counts.sparkSession, path)
 
 
 def normalised(entries: DataFrame, sources: DataFrame, dictionary_path: str | None = None) -> DataFrame:
-    """(entry_id, field_name, epoch_us) of every value that names a moment."""
+    """(entry_id, field_name, epoch_us) of every value that names a moment.
+
+    The dictionary is that of the shared folder unless a path is given: what one run has parsed, no later one parses again. Values that
+    more than HOT_SHARE of this run's rows hold (so at most 1 / HOT_SHARE of them) are joined by broadcast, the others by a shuffle.
+    """
     spark = entries.sparkSession
-    values = raw_values(entries, sources)
-    known = extend_dictionary(values, dictionary_path or scratch_path(spark, "moments")).where(F.col("epoch_us").isNotNull())
-    limit = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_rows"))
-    marked = known.crossJoin(F.broadcast(limit)).withColumn("hot", F.col("n") > F.col("all_rows") * HOT_SHARE)
+    values = written(raw_values(entries, sources), "values")
+    counts = written(values.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
+    known = extend_dictionary(counts, dictionary_path or f"{shared_dir(spark)}/quern-moments-{DICTIONARY_VERSION}").where(F.col("epoch_us").isNotNull())
+    limit = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) * HOT_SHARE).alias("hot_from"))
+    often = counts.crossJoin(F.broadcast(limit)).where("n > hot_from").select(*_KEYS)
     columns = ["entry_id", "field_name", "epoch_us"]
-    hot = F.broadcast(marked.where("hot").select(*_KEYS, "epoch_us"))
-    cold = marked.where("not hot").select(*_KEYS, "epoch_us")
-    often = values.join(hot, _same(values, hot)).select(*columns)
-    rest = values.join(hot, _same(values, hot), "left_anti")
-    return often.unionByName(rest.join(cold, _same(rest, cold)).select(*columns))
+    hot = F.broadcast(known.join(F.broadcast(often), _same(known, often), "left_semi"))
+    rest = values.join(F.broadcast(often), _same(values, often), "left_anti")
+    return values.join(hot, _same(values, hot)).select(*columns).unionByName(rest.join(known, _same(rest, known)).select(*columns))
