@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from quern.functions.arrow import map_columns
 
-#: So many repairs of the whole text are tried one after the other.
-ROUNDS = 6
 #: What share of a run of upper-half characters well-formed spans must cover.
 SHARE_WINDOWS, SHARE_MAC = 0.6, 0.8
 #: Chance well-formed spans are shorter: Han characters in a span of UTF-8 read as GB18030, pairs in one of GB18030 read as Latin.
@@ -196,7 +194,9 @@ def restored(text: str | None) -> tuple[str | None, int, bool]:
         return text, 0, False
     lost = "�" in text
     total, now = 0, text
-    for _ in range(ROUNDS):
+    n = 1
+    while n:  # ends, as every decoding makes a text shorter
+        size = len(now)
         for repair in _REPAIRS:
             now, n = repair(now)
             if n:
@@ -204,7 +204,7 @@ def restored(text: str | None) -> tuple[str | None, int, bool]:
                     now, _ = _from_gb(now, LEAST_HAN - 1)
                 break
         total += n
-        if not n:
+        if len(now) >= size:
             break
     return now, total, bool(total) or lost or _C1.search(now) is not None
 

@@ -51,6 +51,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their leaked passages."""
+    return leakage.cleaned(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(spread_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(spread_table(spark, sf_dir, "documents")).where("spans > 0")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p5_found, p5_counts, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p5_found, p5_counts, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_restored)}
 
 _PAGE_STRETCH = "list_max(list_transform(regexp_split_to_array(text, '[。；！？\\r\\n]'), lambda x: length(x)))"
 _GRID = "list_transform(table_rows, lambda r: array_to_string(list_transform(r, lambda c: coalesce(c, '')), ' | '))"

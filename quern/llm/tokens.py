@@ -272,11 +272,22 @@ class Encoder:
             k += 1
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """This worker process's encoder of a vocabulary, read for its first task and kept, with its cache, for the others."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encoded(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every document."""
 
     def make():
-        encoder = Encoder(path)
+        encoder = _encoder(path)
 
         def step(batch: dict[str, pa.Array]) -> dict[str, list | pa.Array]:
             texts = batch["text"].to_pylist()

@@ -38,3 +38,12 @@ def test_table(spark):
     df = spark.createDataFrame([(1, bad, 0), (1, bad, 0), (2, ZH, 0), (3, None, 0), (4, "", 0), (None, bad, 0), (5, "好" * 100_000 + bad, 0)], "doc_id long, text string, spans int")
     assert {r.doc_id for r in M.garbled(df).collect()} == {1, 5}
     assert M.restore(df).count() == 7 and M.garbled(df.limit(0)).count() == 0
+
+
+def test_any_number_of_wrong_decodings():
+    for times in (7, 12):
+        for text in ("Größe für Übermut", "Bürgermeister"):
+            bad = text
+            for _ in range(times):
+                bad = bad.encode("utf-8").decode("latin-1")
+            assert M.restored(bad)[0] == text and M.restored(bad)[2]
