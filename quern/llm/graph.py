@@ -50,8 +50,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of the undirected links (a, b); the component is named by its smallest node."""
+def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
+    """(node, component) of every node of the undirected links (a, b); the component is named by its smallest node. n_links is told where it is known."""
+    if n_links is not None and n_links <= FEW:
+        return links.select("a", "b").repartition(1).mapInArrow(_in_one_task, "node long, component long")
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     if edges.count() <= FEW:
         return edges.repartition(1).mapInArrow(_in_one_task, "node long, component long")

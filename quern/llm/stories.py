@@ -35,10 +35,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -46,23 +48,22 @@ from pyspark.sql.types import _parse_datatype_string
 from quern.functions.arrow import map_columns
 from quern.llm.graph import components
 from quern.llm.keys import canonical_entries
-from quern.session import scratch_path, written
+from quern.session import is_small, plan_bytes, scratch_path, written
 
 OVERLAP = 0.45
 FREQUENT_SHARE = 1e-3
 #: Titles of a posting list that one task compares with as many others.
 BLOCK = 2_000
-#: Folders by hash that keys, postings and labels are divided into.
-PARTS = 16
+#: Folders by hash that postings and marks are divided into; to be chosen so that one of a batch's files is worth opening.
+PARTS = 8
 
 _TABLES = {
-    "keys": "k1 long, k2 long, node long, part int",
     "postings": "token string, hard string, node long, soft array<string>, names array<string>, part int",
-    # what = 'label': a is a node, b its story; 'member': a is an entry, b its story; 'merge': the stories a and b are one
-    "marks": "a long, b long, batch_no int, what string, part int",
+    # what = 'key': a and b are the halves of a key, c its node; 'label': a is a node, c its story; 'member': a is an entry, c its story; 'merge': the stories a and c are one
+    "marks": "a long, b long, c long, batch_no int, what string, part int",
     "frequent": "token string, n long",
 }
-_BY = {"keys": "k1", "postings": "token", "marks": "a"}
+_BY = {"postings": "token", "marks": "a"}
 
 
 class StoryIndex:
@@ -73,6 +74,7 @@ class StoryIndex:
         self.path = path or scratch_path(spark, "stories")
         self.commits = self._read_commits()
         self.parts = self.commits[0]["parts"] if self.commits else parts
+        self._frequent: tuple[int, Broadcast] | None = None
 
     # files
 
@@ -123,8 +125,14 @@ class StoryIndex:
             rows = rows.where(F.col("part").isin(touched))
         return rows
 
-    def _marks(self, what: str, of: DataFrame | None = None) -> DataFrame:
-        return self.read("marks", of).where(F.col("what") == what)
+    def lookup(self, name: str, rows: DataFrame, on: list[str], few: bool) -> DataFrame:
+        """The index's rows that agree with any of the given rows in the columns `on`. While the given rows are small they go to the index,
+        which is scanned where it lies; a larger batch and the index are both shuffled."""
+        asked = rows.select(*on).distinct()
+        return self.read(name, asked if few else None).join(F.broadcast(asked) if is_small(rows) else asked, on, "left_semi")
+
+    def _marks(self, what: str) -> DataFrame:
+        return self.read("marks").where(F.col("what") == what)
 
     def _part(self, name: str) -> Column:
         return F.pmod(F.xxhash64(_BY[name]), F.lit(self.parts)).cast("int").alias("part")
@@ -133,8 +141,7 @@ class StoryIndex:
         out = rows.select(*(self._part(name) if c == "part" else c for c in _parse_datatype_string(_TABLES[name]).names))
         folder = self._folder(name, len(self.commits), generation)
         if name in _BY:
-            by = ["what", "part"] if name == "marks" else ["part"]
-            out.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(folder)
+            out.repartition("part").sortWithinPartitions("part", *(["what"] if name == "marks" else [])).write.mode("overwrite").partitionBy("part").parquet(folder)
         else:
             out.write.mode("overwrite").parquet(folder)
 
@@ -148,50 +155,55 @@ class StoryIndex:
         generation, no = self.generation, len(self.commits)
         batch = canonical_entries(entries.where("batch_no is not null"), with_words=True).where("title_key is not null or url_key is not null")
         batch = written(batch.withColumns({f"{kind}_{k}": _hash(kind, k) for kind in ("title", "url") for k in ("k1", "k2")}), "batch")
-        few = batch.count() < 4 * self.parts  # a larger batch touches every partition anyway
-
-        def only(rows: DataFrame) -> DataFrame | None:
-            return rows if few else None
+        few = plan_bytes(batch) < self.parts << 10  # a larger batch touches every partition anyway
 
-        halves = [F.struct(F.col(f"{kind}_k1").alias("k1"), F.col(f"{kind}_k2").alias("k2"), F.lit(kind == "title").alias("is_title")) for kind in ("title", "url")]
-        ids = batch.select("entry_id", "batch_no", F.explode(F.array(*halves)).alias("k")).select("entry_id", "batch_no", "k.*").where("k1 is not null")
-        keys = ids.groupBy("k1", "k2", "is_title").agg(F.min("entry_id").alias("first_id"))
-        keys = keys.join(self.read("keys", only(keys)).select("k1", "k2", F.col("node").alias("known")), ["k1", "k2"], "left")
+        halves = [F.struct(F.col(f"{kind}_k1").alias("a"), F.col(f"{kind}_k2").alias("b"), F.lit(kind == "title").alias("is_title")) for kind in ("title", "url")]
+        ids = batch.select("entry_id", "batch_no", F.explode(F.array(*halves)).alias("k")).select("entry_id", "batch_no", "k.*").where("a is not null")
+        before = self.lookup("marks", ids, ["a", "b"], few).where("what = 'key'").select("a", "b", F.col("c").alias("known"))
+        keys = ids.groupBy("a", "b", "is_title").agg(F.min("entry_id").alias("first_id")).join(before, ["a", "b"], "left")
         keys = written(keys.withColumn("node", F.coalesce("known", "first_id")), "keys")
-        held = written(ids.join(keys.select("k1", "k2", "node"), ["k1", "k2"]).select("entry_id", "batch_no", "node").distinct(), "held")
-        lowest = held.groupBy("entry_id", "batch_no").agg(F.min("node").alias("lowest"))
+        held = ids.join(keys.select("a", "b", "node"), ["a", "b"]).select("entry_id", "batch_no", "node").distinct()
+        held = written(held.withColumn("lowest", F.min("node").over(Window.partitionBy("entry_id", "batch_no"))), "held")
 
-        new_titles = keys.where("known is null and is_title").select(F.col("first_id").alias("entry_id"), F.col("k1").alias("title_k1"), F.col("k2").alias("title_k2"))
+        new_titles = keys.where("known is null and is_title").select(F.col("first_id").alias("entry_id"), F.col("a").alias("title_k1"), F.col("b").alias("title_k2"))
         titles = batch.join(new_titles, ["entry_id", "title_k1", "title_k2"], "left_semi").dropDuplicates(["entry_id"]).select(F.col("entry_id").alias("node"), "hard", "soft", "names")
         n_titles = new_titles.count()
         fresh_order = bool(n_titles) and not self.folders("frequent")
         if fresh_order:
             titles = written(titles, "titles")
             self._write("frequent", _frequent(titles), generation)
-            frequent = self.spark.read.schema(_TABLES["frequent"]).parquet(self._folder("frequent", no, generation))
-        else:
-            frequent = self.read("frequent")
-        self._write("postings", _postings(titles, frequent), generation)
+        self._write("postings", _postings(titles, self._counts(no if fresh_order else None)), generation)
         postings = self.spark.read.schema(_TABLES["postings"]).parquet(self._folder("postings", no, generation))
-        links = held.join(lowest, ["entry_id", "batch_no"]).where("node <> lowest").select(F.col("node").alias("a"), F.col("lowest").alias("b"))
-        links = written(links.unionByName(_verified(postings, self.read("postings", only(postings)))).distinct(), "links")
+        links = held.where("node <> lowest").select(F.col("node").alias("a"), F.col("lowest").alias("b")).unionByName(_verified(postings, self.lookup("postings", postings, ["token"], few)))
+        links = written(links.distinct(), "links")
 
-        touched = held.select("node").unionByName(links.select(F.col("a").alias("node"))).unionByName(links.select(F.col("b").alias("node"))).distinct()
-        labels = self._marks("label", only(touched.select(F.col("node").alias("a")))).select(F.col("a").alias("node"), F.col("b").alias("story"))
-        known = written(touched.join(labels, "node", "left").withColumn("at", F.coalesce("story", "node")), "labels")
+        touched = held.select(F.col("node").alias("a")).unionByName(links.select("a")).unionByName(links.select(F.col("b").alias("a"))).distinct()
+        labels = self.lookup("marks", touched, ["a"], few).where("what = 'label'").select("a", F.col("c").alias("story"))
+        known = written(touched.join(labels, "a", "left").select(F.col("a").alias("node"), "story", F.coalesce("story", "a").alias("at")), "labels")
         ends = links.join(known.select(F.col("node").alias("a"), F.col("at").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("at").alias("y")), "b")
-        whole = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "at")
+        whole = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), links.count()).withColumnRenamed("node", "at")
         resolved = written(known.join(whole, "at", "left").select("node", "story", F.coalesce("component", "at").alias("now")), "resolved")
-        self._write("keys", keys.where("known is null"), generation)
-        none = F.lit(None).cast("int").alias("batch_no")
-        marks = resolved.where("story is null").select(F.col("node").alias("a"), F.col("now").alias("b"), none, F.lit("label").alias("what"))
-        marks = marks.unionByName(resolved.where("story <> now").select(F.col("story").alias("a"), F.col("now").alias("b"), none, F.lit("merge").alias("what")).distinct())
-        members = lowest.join(resolved.select(F.col("node").alias("lowest"), "now"), "lowest").select(F.col("entry_id").alias("a"), F.col("now").alias("b"), "batch_no", F.lit("member").alias("what"))
-        self._write("marks", marks.unionByName(members), generation)
+
+        members = held.select("entry_id", "batch_no", "lowest").distinct().join(resolved.select(F.col("node").alias("lowest"), "now"), "lowest")
+        nothing = F.lit(None).cast("long").alias("b")
+        parts = [
+            keys.where("known is null").select("a", "b", F.col("node").alias("c"), F.lit(None).cast("int").alias("batch_no"), F.lit("key").alias("what")),
+            resolved.where("story is null").select(F.col("node").alias("a"), nothing, F.col("now").alias("c"), F.lit(None).cast("int").alias("batch_no"), F.lit("label").alias("what")),
+            resolved.where("story <> now").select(F.col("story").alias("a"), nothing, F.col("now").alias("c"), F.lit(None).cast("int").alias("batch_no"), F.lit("merge").alias("what")).distinct(),
+            members.select(F.col("entry_id").alias("a"), nothing, F.col("now").alias("c"), "batch_no", F.lit("member").alias("what")),
+        ]
+        self._write("marks", reduce(DataFrame.unionByName, parts), generation)
         ranked_at = n_titles if fresh_order else (self.commits[-1]["ranked_at"] if self.commits else 0)
-        self._commit(label=label, generation=generation, titles=n_titles, ranked_at=ranked_at, tables=["keys", "postings", "marks", *(["frequent"] if fresh_order else [])])
+        self._commit(label=label, generation=generation, titles=n_titles, ranked_at=ranked_at, tables=["postings", "marks", *(["frequent"] if fresh_order else [])])
         return True
 
+    def _counts(self, no: int | None = None) -> Broadcast:
+        """The frequent tokens of this generation, kept with the executors: at most the words of a title divided by FREQUENT_SHARE."""
+        if self._frequent is None or self._frequent[0] != self.generation or no is not None:
+            rows = self.read("frequent") if no is None else self.spark.read.schema(_TABLES["frequent"]).parquet(self._folder("frequent", no, self.generation))
+            self._frequent = (self.generation, self.spark.sparkContext.broadcast({r.token: r.n for r in rows.toLocalIterator()}))
+        return self._frequent[1]
+
     def _order_anew(self) -> None:
         """Count the frequent tokens again and post all titles by the new order, once there are twice as many titles as when it was last done."""
         n = sum(c["titles"] for c in self.commits)
@@ -202,14 +214,15 @@ class StoryIndex:
         titles = written(titles, "titles")
         frequent = written(_frequent(titles), "frequent")
         self._write("frequent", frequent, generation)
-        self._write("postings", _postings(titles, frequent), generation)
+        counts = self.spark.sparkContext.broadcast({r.token: r.n for r in frequent.toLocalIterator()})
+        self._write("postings", _postings(titles, counts), generation)
         self._commit(label=None, generation=generation, titles=0, ranked_at=n, tables=["frequent", "postings"])
 
     def found(self) -> DataFrame:
         """(accepted_id, entry_id) of each entry whose story an earlier batch brought. Hot stories are counted before the shuffle; the join
         back is left to the adaptive splitting of skewed partitions."""
-        members = self._marks("member").select(F.col("a").alias("entry_id"), "batch_no", F.col("b").alias("story"))
-        now = components(self._marks("merge").select("a", "b")).select(F.col("node").alias("story"), "component")
+        members = self._marks("member").select(F.col("a").alias("entry_id"), "batch_no", F.col("c").alias("story"))
+        now = components(self._marks("merge").select("a", F.col("c").alias("b"))).select(F.col("node").alias("story"), "component")
         per = members.groupBy("story").agg(F.min("batch_no").alias("batch"), F.min("entry_id").alias("first_id"))
         per = written(per.join(now, "story", "left").withColumn("component", F.coalesce("component", "story")), "stories")
         whole = per.groupBy("component").agg(F.min("batch").alias("first_batch"), F.min("first_id").alias("accepted_id"))
@@ -245,10 +258,8 @@ def prefix(hard: list[str], soft: list[str], frequent: dict[str, int]) -> list[s
     return out
 
 
-def _postings(titles: DataFrame, frequent: DataFrame) -> DataFrame:
-    """A row for each token of each title's prefix. The list of frequent tokens goes to the executors whole: it is at most the words of a
-    title divided by FREQUENT_SHARE long."""
-    counts = titles.sparkSession.sparkContext.broadcast({r.token: r.n for r in frequent.toLocalIterator()})
+def _postings(titles: DataFrame, counts: Broadcast) -> DataFrame:
+    """A row for each token of each title's prefix."""
 
     def make():
         def step(batch: dict[str, pa.Array]) -> dict[str, list | pa.Array]:
@@ -286,7 +297,6 @@ def _verified(new: DataFrame, old: DataFrame) -> DataFrame:
     so n titles give at most n - 1 links a task.
     """
     columns = ["token", "hard", "node", "soft", "names"]
-    old = old.join(new.select("token").distinct(), "token", "left_semi")
     both = old.select(*columns, F.lit(False).alias("fresh")).unionByName(new.select(*columns, F.lit(True).alias("fresh")))
     runs = both.groupBy("token", "hard").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any_fresh")).where("n > 1 and any_fresh")
     runs = runs.select("token", "hard", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
