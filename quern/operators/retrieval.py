@@ -16,7 +16,7 @@ from quern.session import is_small, written
 K1, B, RRF_K, CANDIDATES, TOP = 1.2, 0.75, 60, 50, 10
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
+def maybe_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast only if the plan's estimated size allows it."""
     return F.broadcast(df) if is_small(df) else df
 
@@ -32,7 +32,7 @@ def bm25(docs: DataFrame, id_col: str, tokens: Column, queries: DataFrame, query
     lengths = docs.select(F.col(id_col).alias("d"), tokens.alias("tokens"), kept.alias("kept"))
     # one pass over the texts: beside its tokens each document has a row without a token, which the statistics are counted from
     every = lengths.select("d", "kept", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("token"))
-    told = every.join(_maybe_broadcast(wanted.withColumn("asked", F.lit(True))), "token", "left").where("asked or token is null")
+    told = every.join(maybe_broadcast(wanted.withColumn("asked", F.lit(True))), "token", "left").where("asked or token is null")
     tf = written(told.groupBy("token", "d", "kept", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
     sizes = tf.where("token is null").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("len")).alias("total")).first()
     n_docs, total = sizes["n"] or 0, sizes["total"] or 0
@@ -41,7 +41,7 @@ def bm25(docs: DataFrame, id_col: str, tokens: Column, queries: DataFrame, query
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "token").select("q", "token", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    scored = tf.where("kept").join(_maybe_broadcast(weights), "token").groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.where("kept").join(maybe_broadcast(weights), "token").groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.where("score > 0").select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score")
 
 
@@ -66,7 +66,7 @@ def bad_vectors(vectors: DataFrame, column: str, dimension: int, tolerance: floa
 
 def dense(vectors: DataFrame, id_col: str, column: str, queries: DataFrame, query_id: str, query_column: str) -> DataFrame:
     """(query_id, id, score) of all vectors against a stated set of queries, which is broadcast in blocks while small and else joined."""
-    block = _maybe_broadcast(queries.select(F.col(query_id).alias("q"), F.col(query_column).alias("qv")))
+    block = maybe_broadcast(queries.select(F.col(query_id).alias("q"), F.col(query_column).alias("qv")))
     return vectors.select(F.col(id_col).alias("d"), F.col(column).alias("v")).crossJoin(block).select(F.col("q").alias(query_id), F.col("d").alias(id_col), F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
 
 

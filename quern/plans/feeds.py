@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.functions import urls as U
 from quern.operators import dedup, feeds
 from quern.plans.base import Registry
-from quern.plans.texts import _sql_url, sql_fold, sql_norm
+from quern.plans.texts import _sql_url, sql_fold, sql_near, sql_norm, sql_shingles
 from quern.session import spread_table, table
 
 query = Registry()
@@ -20,7 +20,11 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_classes(spread_table(spark, sf_dir, "documents"), "doc_id", T.normal_form(F.col("text"))).select("class_id", "n")
 
 
-@query()
+_SQL_FORMS = f"forms AS (SELECT doc_id, lang, n, s FROM (SELECT doc_id, lang, {sql_norm('text')} AS n, {sql_shingles('text')} AS s FROM documents WHERE text IS NOT NULL) WHERE n <> '')"
+_SQL_LINKS = f"cls AS (SELECT n, any_value(s) AS s, min(doc_id) AS class_id FROM forms GROUP BY n), links AS (SELECT a.class_id AS a, b.class_id AS b FROM cls a, cls b WHERE a.class_id <> b.class_id AND {sql_near('a', 'b')})"
+
+
+@query(f"WITH {_SQL_FORMS}, {_SQL_LINKS}, deg AS (SELECT a AS class_id, count(*) AS n_links FROM links GROUP BY a) SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM forms JOIN cls USING (n) LEFT JOIN deg USING (class_id)")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicate_summary(spread_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -33,14 +37,18 @@ def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT count(*) AS n FROM documents d WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 7 <> 0
-    AND NOT EXISTS (SELECT 1 FROM documents h WHERE h.doc_id % 7 = 0 AND h.text IS NOT NULL AND {sql_norm('h.text')} = {sql_norm('d.text')} AND {sql_norm('d.text')} <> '')
+    WITH {_SQL_FORMS}, {_SQL_LINKS}, held AS (SELECT DISTINCT class_id FROM forms JOIN cls USING (n) WHERE doc_id % 7 = 0), near AS (SELECT class_id FROM held UNION SELECT b FROM links JOIN held ON a = class_id)
+    SELECT count(*) AS n FROM documents d WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 7 <> 0 AND doc_id NOT IN (SELECT doc_id FROM forms JOIN cls USING (n) WHERE class_id IN (SELECT class_id FROM near))
 """)
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows outside the hold-out (ids divisible by seven) whose text equals none in it."""
+    """Labelled rows outside the hold-out (ids divisible by seven) whose text is no near-duplicate of one in it: its class holds no
+    held-out text and is linked to no class that does."""
     d = spread_table(spark, sf_dir, "documents").where("text is not null").withColumn("f", T.normal_form(F.col("text")))
-    held = d.where("doc_id % 7 = 0 and f <> ''").select("f").distinct()
-    return d.where("lang is not null and doc_id % 7 <> 0").join(held, "f", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    classes, links = dedup.near_duplicates(d, "doc_id", "text")
+    held = d.where("doc_id % 7 = 0").select(F.col("f").alias("form")).join(classes, "form").select("class_id").distinct()
+    beside = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(held.withColumnRenamed("class_id", "a"), "a").select(F.col("b").alias("class_id"))
+    near = classes.join(held.unionByName(beside).distinct(), "class_id").select(F.col("form").alias("f"))
+    return d.where("lang is not null and doc_id % 7 <> 0").join(near, "f", "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
 _HOST = "lower(regexp_extract(url, '(?i)^\\s*https?://([^/?#:\\s@]+)', 1))"

@@ -155,27 +155,6 @@ def direction_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.votes(_neighbours(spark, sf_dir, 9), "query_id", "label", 9, 0.2)
 
 
-@query(f"{_SQL_NEAR} SELECT q AS query_id, count(*) AS n, sum(CASE WHEN score > 0.999 THEN 1 ELSE 0 END)::BIGINT AS n_same, min(score) AS least FROM nb WHERE rank <= 60 GROUP BY q")
-def guarded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty neighbours with a positive score, how many of them are the query again."""
-    n = _neighbours(spark, sf_dir, 60)
-    return n.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0.999).alias("n_same"), F.min("score").alias("least"))
-
-
-@query(f"""
-    WITH t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents),
-         n AS (SELECT count(*) AS n FROM documents),
-         df AS (SELECT token, count(DISTINCT doc_id) AS df FROM t GROUP BY token HAVING count(DISTINCT doc_id) >= 2)
-    SELECT token, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM df, n
-""")
-def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothed inverse document frequencies of all tokens that two documents hold."""
-    docs = spread_table(spark, sf_dir, "documents")
-    df = docs.select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
-
-
 @query(f"""
     WITH p AS (SELECT DISTINCT code, company FROM report_manifest)
     SELECT item_id, code FROM (SELECT item_id, text FROM eval_items), p WHERE contains(text, company) OR list_contains(regexp_split_to_array(text, '[^0-9A-Za-z]+'), code)

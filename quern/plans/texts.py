@@ -40,6 +40,16 @@ def sql_shingles(x: str) -> str:
     return f"list_transform({cs}, lambda cs: list_distinct(list_transform(range(1, len(cs) - 3, 2), lambda i: cs[i] || cs[i + 1] || cs[i + 2] || cs[i + 3] || cs[i + 4])))[1]"
 
 
+def sql_near(a: str, b: str) -> str:
+    """Whether two rows with n (normal form) and s (its shingles) are near-duplicates."""
+    low, high = f"least(length({a}.n), length({b}.n))", f"greatest(length({a}.n), length({b}.n))"
+    common = f"len(list_intersect({a}.s, {b}.s))"
+    return (
+        f"({a}.n <> '' AND {b}.n <> '' AND ({a}.n = {b}.n OR ({low} >= 100 AND 10 * {low} >= 6 * {high} AND (contains({a}.n, {b}.n) OR contains({b}.n, {a}.n)))"
+        f" OR ({low} >= 120 AND 10 * {low} >= 7 * {high} AND len({a}.s) > 0 AND len({b}.s) > 0 AND 100 * {common} >= 88 * (len({a}.s) + len({b}.s) - {common}))))"
+    )
+
+
 def sql_char_bigrams(x: str) -> str:
     return f"list_transform([string_split({sql_norm(x)}, '')], lambda cs: list_transform(range(1, len(cs)), lambda i: cs[i] || cs[i + 1]))[1]"
 

@@ -26,6 +26,7 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.codegen.cache.maxEntries": "2000",  # many small jobs of few shapes: compile each once
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -47,12 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a table of one run in the shared folder."""
-    return f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
+_scratch: dict[str, set[str]] = {}
 
 
-_scratch: dict[str, set[str]] = {}
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of one run in the shared folder."""
+    folder = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_forget_all)
+    _scratch.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    return f"{folder}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -62,9 +67,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if not _scratch:
-        atexit.register(_forget_all)
-    _scratch.setdefault(spark.sparkContext.applicationId, set()).add(path.rpartition("/")[0])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
