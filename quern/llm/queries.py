@@ -43,6 +43,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.p7_pairs(spread_table(spark, sf_dir, "feed_entries"))
 
 
+def p7_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, each later batch taken in by itself."""
+    return stories.p7_pairs(spread_table(spark, sf_dir, "feed_entries"), one_by_one=True)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(spread_table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(spread_table(spark, sf_dir, "documents")).where("spans > 0")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p5_found, p5_counts, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_pieces, p5_found, p5_counts, p7_found, p7_batches, p8_ids, p9_found, p9_clean, p10_found, p10_restored)}
 
 _PAGE_STRETCH = "list_max(list_transform(regexp_split_to_array(text, '[。；！？\\r\\n]'), lambda x: length(x)))"
 _GRID = "list_transform(table_rows, lambda r: array_to_string(list_transform(r, lambda c: coalesce(c, '')), ' | '))"

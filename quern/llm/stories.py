@@ -153,8 +153,7 @@ class StoryIndex:
             return False
         self._order_anew()
         generation, no = self.generation, len(self.commits)
-        batch = canonical_entries(entries.where("batch_no is not null"), with_words=True).where("title_key is not null or url_key is not null")
-        batch = written(batch.withColumns({f"{kind}_{k}": _hash(kind, k) for kind in ("title", "url") for k in ("k1", "k2")}), "batch")
+        batch = entries if "title_k1" in entries.columns else written(canonical(entries), "batch")
         few = plan_bytes(batch) < self.parts << 10  # a larger batch touches every partition anyway
 
         halves = [F.struct(F.col(f"{kind}_k1").alias("a"), F.col(f"{kind}_k2").alias("b"), F.lit(kind == "title").alias("is_title")) for kind in ("title", "url")]
@@ -230,6 +229,12 @@ class StoryIndex:
         return members.join(info, "story").where("batch_no > first_batch and accepted_id < entry_id").select("accepted_id", "entry_id").distinct()
 
 
+def canonical(entries: DataFrame) -> DataFrame:
+    """What the index takes in of each entry with a batch number and a key: keys, their halves, and the words of its title. Every row by itself."""
+    rows = canonical_entries(entries.where("batch_no is not null"), with_words=True).where("title_key is not null or url_key is not null")
+    return rows.withColumns({f"{kind}_{k}": _hash(kind, k) for kind in ("title", "url") for k in ("k1", "k2")}).drop("title_key", "url_key")
+
+
 def _hash(kind: str, which: str) -> Column:
     """One half of a key's 128 bits; null without a key. Keys are told apart by both halves."""
     salt = F.lit(f"{kind} {which}")
@@ -337,11 +342,17 @@ def _verified(new: DataFrame, old: DataFrame) -> DataFrame:
     return tasks.mapInArrow(scan, schema).distinct()
 
 
-def p7_pairs(entries: DataFrame) -> DataFrame:
-    """History first, then each later batch by itself, as it came."""
-    index = StoryIndex(entries.sparkSession)
-    later = entries.where("batch_no > 0").select("batch_no").distinct().orderBy("batch_no").collect()  # the numbers of the batches
-    index.ingest(entries.where("batch_no <= 0"), "history")
-    for row in later:
-        index.ingest(entries.where(F.col("batch_no") == row.batch_no), f"batch {row.batch_no}")
+def p7_pairs(entries: DataFrame, one_by_one: bool = False) -> DataFrame:
+    """History first, then what waits: the later batches as one backlog, or each by itself, as it came, with the same result. Taking a
+    batch in costs some twenty small jobs whatever its size, so a backlog is cheaper. Entries are made canonical, each by itself, once."""
+    spark = entries.sparkSession
+    index, path = StoryIndex(spark), scratch_path(spark, "canonical")
+    rows = canonical(entries)
+    rows.write.partitionBy("batch_no").parquet(path)
+    stored = spark.read.schema(rows.schema).option("basePath", path)
+    numbers = sorted(r.batch_no for r in stored.parquet(path).select("batch_no").distinct().collect())  # of the batches
+    later = [n for n in numbers if n > 0]
+    for batches in ([n for n in numbers if n <= 0], *([[n] for n in later] if one_by_one else [later])):
+        if batches:
+            index.ingest(stored.parquet(*(f"{path}/batch_no={n}" for n in batches)), f"batches {batches}")
     return index.found()
