@@ -12,13 +12,26 @@ from quern.operators import chunks as C
 from quern.operators import learning as L
 from quern.operators import retrieval as R
 from quern.plans.base import Registry
+from quern.plans.tables import SQL_WINDOWS
 from quern.session import spread_table, table
 from quern.streaming import jobs
 
 query = Registry()
 
 
-@query()
+_TRIM = "regexp_replace(regexp_replace({}, '^[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x{{85}}]+', ''), '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x{{85}}]+$', '')"
+
+
+@query(f"""
+    WITH RECURSIVE p AS (SELECT page_id, any_value(text) AS t, length(any_value(text)) AS n FROM report_pages WHERE text IS NOT NULL GROUP BY page_id),
+    c AS (
+        SELECT page_id, t, n, 0::BIGINT AS low, CASE WHEN n <= 340 THEN n ELSE CASE WHEN regexp_matches(substr(t, 171, 170), '[。；\n]') THEN 170 + length(regexp_extract(substr(t, 171, 170), '^((?s:.*)[。；\n])', 1)) ELSE 340 END END AS high FROM p WHERE n > 0
+        UNION ALL
+        SELECT page_id, t, n, l, CASE WHEN n <= l + 340 THEN n ELSE CASE WHEN regexp_matches(substr(t, l + 171, 170), '[。；\n]') THEN l + 170 + length(regexp_extract(substr(t, l + 171, 170), '^((?s:.*)[。；\n])', 1)) ELSE l + 340 END END
+        FROM (SELECT page_id, t, n, greatest(high - 35, low + 1) AS l FROM c WHERE high < n)
+    )
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY low) - 1 AS no, low AS start_at, high AS end_at, part FROM (SELECT *, {_TRIM.format('substr(t, low + 1, high - low)')} AS part FROM c) WHERE part <> ''
+""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping chunks of distinct pages, with offsets."""
     pages = spread_table(spark, sf_dir, "report_pages").select("page_id", "text").dropDuplicates(["page_id"])
@@ -41,7 +54,16 @@ def encoder_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.explode_text(spread_table(spark, sf_dir, "documents"), "doc_id", "text", C.lossless(count, 480))
 
 
-@query()
+@query("""
+    WITH RECURSIVE t AS (SELECT table_id, any_value(table_rows) AS g, any_value(CASE WHEN coalesce(unit_context, '') <> '' THEN '单位说明：' || unit_context || chr(10) ELSE '' END || '表头：' || array_to_string(list_transform(coalesce(headers, []), lambda h: coalesce(h, '')), ' | ') || chr(10)) AS head FROM report_tables GROUP BY table_id),
+    r AS (SELECT table_id, head, rn, array_to_string(list_transform(coalesce(l, []), lambda c: coalesce(c, '')), ' | ') AS line, coalesce(list_sum(list_transform(l, lambda c: length(coalesce(c, '')) + 3)), 0)::BIGINT AS cost FROM (SELECT table_id, head, unnest(g) AS l, generate_subscripts(g, 1) AS rn FROM t)),
+    f AS (
+        SELECT table_id, head, rn, line, rn AS first, length(head) + cost AS size FROM r WHERE rn = 1
+        UNION ALL
+        SELECT r.table_id, r.head, r.rn, r.line, CASE WHEN f.size + r.cost > 340 THEN r.rn ELSE f.first END, CASE WHEN f.size + r.cost > 340 THEN length(r.head) + r.cost ELSE f.size + r.cost END FROM f JOIN r ON r.table_id = f.table_id AND r.rn = f.rn + 1
+    )
+    SELECT table_id, first AS row_start, max(rn) AS row_end, any_value(head) || string_agg(line, chr(10) ORDER BY rn) AS chunk FROM f GROUP BY table_id, first
+""")
 def packed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = table(spark, sf_dir, "report_tables").select("table_id", "headers", "table_rows", "unit_context").dropDuplicates(["table_id"])
     return C.table_chunks(tables)
@@ -112,7 +134,7 @@ def stream_last_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.last_phases(spark, sf_dir)
 
 
-@query()
+@query(SQL_WINDOWS)
 def stream_window_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-window limits as a stateful stream."""
     return jobs.window_limits(spark, sf_dir)

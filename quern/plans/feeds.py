@@ -90,7 +90,15 @@ def newest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.newest_per_source(table(spark, sf_dir, "feed_entries")).select("source_id", "entry_id", "source_rank")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE e AS (SELECT entry_id, coalesce(source_id, '') AS s, list_filter(['u' || ({_sql_url('key')}), 't' || lower(title)], lambda x: x IS NOT NULL) AS ks, row_number() OVER (PARTITION BY source_id ORDER BY fetched_at DESC NULLS FIRST, entry_id) AS rn FROM feed_entries),
+    g AS (
+        SELECT entry_id, s, rn, true AS kept, ks AS seen FROM e WHERE rn = 1
+        UNION ALL
+        SELECT e.entry_id, e.s, e.rn, NOT list_has_any(g.seen, e.ks), CASE WHEN list_has_any(g.seen, e.ks) THEN g.seen ELSE g.seen || e.ks END FROM g JOIN e ON e.s = g.s AND e.rn = g.rn + 1
+    )
+    SELECT entry_id FROM g WHERE kept
+""")
 def greedy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries kept per source, newest first, by address or title."""
     return feeds.deduplicated(table(spark, sf_dir, "feed_entries"), -F.unix_micros("fetched_at"))

@@ -93,4 +93,22 @@ def p6_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_inferred, p4_found, p6_found, p6_schema, p6_levels, p6_tables, p6_companies, p6_evidence, p6_evidence_values, p6_methods)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": """
+        WITH RECURSIVE enc AS (
+          SELECT record_id, record_kind, ltrim(body, chr(65279)) AS b FROM json_records WHERE body IS NOT NULL
+          UNION ALL
+          SELECT record_id, record_kind, ltrim(CAST(b AS JSON) ->> '$', chr(65279)) FROM enc WHERE json_valid(b) AND json_type(b) = 'VARCHAR'
+        ),
+        t AS (
+          SELECT record_id, record_kind, '' AS p, CAST(b AS JSON) AS j FROM enc WHERE json_valid(b) AND json_type(b) IN ('OBJECT', 'ARRAY')
+          UNION ALL
+          SELECT record_id, record_kind, p || '/' || replace(replace(e.key, '~', '~0'), '/', '~1'), e.value FROM t, json_each(t.j) AS e WHERE json_type(t.j) IN ('OBJECT', 'ARRAY')
+        )
+        SELECT record_id, p AS leaf_path, CASE WHEN json_type(j) = 'VARCHAR' THEN j ->> '$' ELSE j::VARCHAR END AS leaf_value FROM t
+        WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND CASE record_kind
+          WHEN 'manual-review' THEN regexp_matches(p, '/companies/(.*/)?status$')
+          WHEN 'questions' THEN regexp_matches(p, '/goldEvidence/(.*/)?values(/|$)')
+          WHEN 'manifest' THEN regexp_matches(p, '/tableMethods(/|$)') ELSE false END
+    """
+}

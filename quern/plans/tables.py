@@ -123,7 +123,19 @@ def rolling_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rolling_counts(signups, ["user_id"]).select("event_id", F.col("n_in_span").alias("per_user"))
 
 
-@query()
+#: Windows by going through each key's events in time order.
+SQL_WINDOWS = """
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (
+        SELECT event_id, user_id, t AS start, rn, 1::BIGINT AS nth FROM e WHERE rn = 1
+        UNION ALL
+        SELECT e.event_id, e.user_id, CASE WHEN e.t - w.start >= 900000000 THEN e.t ELSE w.start END, e.rn, CASE WHEN e.t - w.start >= 900000000 THEN 1 ELSE w.nth + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1
+    )
+    SELECT event_id, user_id, start AS window_start_us, nth, nth <= 5 AS allowed FROM w
+"""
+
+
+@query(SQL_WINDOWS)
 def fixed_window_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fixed_windows(table(spark, sf_dir, "events"))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quern.functions import numbers as N
 from quern.functions import text as T
 from quern.functions import urls as U
+from quern.operators import citations
 from quern.plans.base import Registry
-from quern.session import table
+from quern.session import spread_table, table
 
 query = Registry()
 
@@ -134,6 +135,12 @@ def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.title", "m.article")
 
 
+@query()
+def cited_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles cited by lists behind titles, which may hold titles themselves; balanced marks are beyond regular SQL."""
+    return citations.cited_articles(spread_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query()
 def law_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article numbers of cited laws as figures; a fold over the numeral, tested against a table of numerals."""
