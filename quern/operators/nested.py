@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -121,6 +122,13 @@ def pointer(key: str) -> str:
     return whole(key.replace("~", "~0").replace("/", "~1"))
 
 
+@lru_cache(100_000)
+def _step(key: str) -> tuple[str, str]:
+    """(key of a pointer, key of a schema path): data-like keys are one in the schema."""
+    own = pointer(key)
+    return own, "*" if _CODE.fullmatch(key) else own
+
+
 def _kind(value) -> str:
     if isinstance(value, dict):
         return "object"
@@ -155,10 +163,11 @@ class _Path:
 
     def __init__(self, above: _Path | None, key: str, step: str):
         self.above, self.key = above, key
-        self.depth = 0 if above is None else above.depth + 1
         if above is None:
-            self.schema = ""
-        elif self.depth <= 2 * DEEP:
+            self.depth, self.schema = 0, ""
+            return
+        self.depth = depth = above.depth + 1
+        if depth <= 2 * DEEP:
             self.schema = f"{above.schema}/{step}"
         else:  # too long: the first and the last keys
             parts = above.schema.split("/**/")
@@ -211,12 +220,12 @@ def explode_record(content) -> Iterator[Element]:
                 if isinstance(v, dict):
                     element.inner.append((place, "object"))
                     for i, (k, x) in enumerate(v.items()):
-                        key = pointer(k)
-                        if _CODE.fullmatch(k):
+                        key, step = _step(k)
+                        if step == "*" != key:
                             number += 1
-                            below.append((Element(_Path(place, key, "*"), number, element.number, i), x))
+                            below.append((Element(_Path(place, key, step), number, element.number, i), x))
                         else:
-                            open_values.append((_Path(place, key, key), x))
+                            open_values.append((_Path(place, key, step), x))
                 elif isinstance(v, list):
                     element.inner.append((place, "array"))
                     for i, x in enumerate(v):
