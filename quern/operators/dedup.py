@@ -13,7 +13,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from quern.functions import text as T
 from quern.functions.arrow import map_columns
-from quern.session import BROADCAST_BYTES, plan_bytes, written
+from quern.session import BROADCAST_BYTES, plan_bytes, scratch_path, written
 
 #: Jaccard of shingles, in hundredths so that integers decide; lengths and their ratios, in tenths.
 JACCARD, LEAST_SHINGLED, RATIO_SHINGLED, LEAST_CONTAINED, RATIO_CONTAINED = 88, 120, 7, 100, 6
@@ -120,11 +120,27 @@ def _containment(classes: DataFrame) -> DataFrame:
     return both.where(F.contains("fl", F.col("fs"))).select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
 
 
+def _shingle_sets(classes: DataFrame) -> DataFrame:
+    """(class_id, len, s): the set of hashes of a form's shingles (five characters at every second place, runs of digits as one), of
+    forms long enough. 64 bits tell shingles apart."""
+
+    def make():
+        def step(batch: dict[str, pa.Array]) -> dict[str, list | pa.Array]:
+            sets = [np.unique(rolling(t.as_py(), 5)[::2]) for t in batch["folded"]]
+            offsets = np.cumsum([0, *map(len, sets)])
+            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            return {"class_id": batch["class_id"], "len": batch["len"], "s": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))}
+
+        return step
+
+    long = classes.where(F.length("form") >= LEAST_SHINGLED).select("class_id", F.length("form").alias("len"), F.regexp_replace("form", "[0-9]+", "0").alias("folded"))
+    return map_columns(long, make, "class_id long, len int, s array<long>").where("size(s) > 0")
+
+
 def _shingled(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose shingle sets have the wanted Jaccard similarity, by prefix filtering: a pair must share one of each
-    side's n - ceil(0.88 n) + 1 rarest shingles."""
-    hashed = F.transform(T.shingles(F.col("form")), lambda x: F.xxhash64(x))  # candidates by hash, the links found by the shingles themselves
-    sets = written(classes.where(F.length("form") >= LEAST_SHINGLED).select("class_id", F.length("form").alias("len"), hashed.alias("s")).where("size(s) > 0"), "shingles")
+    side's n - ceil(0.88 n) + 1 rarest shingles. Only hashes are carried; forms stay where they are."""
+    sets = written(_shingle_sets(classes), "shingles")
     posted = sets.select("class_id", "len", F.size("s").alias("n"), F.explode("s").alias("shingle"))
     often = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = posted.join(often, "shingle")
@@ -133,16 +149,13 @@ def _shingled(classes: DataFrame) -> DataFrame:
     ordered = shared.groupBy("class_id", "len", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
     places = F.col("n") - F.ceil(F.col("n") * JACCARD / 100).cast("int") + 1 - single
     prefix = ordered.where(places > 0).select("class_id", "len", "n", (F.col("n") - F.size("ordered")).alias("single"), F.posexplode(F.slice("ordered", F.lit(1), places)).alias("p", "o"))
-    prefix = prefix.select("class_id", "len", "n", (F.col("n") - F.col("single") - F.col("p")).alias("rest"), "o.shingle")
+    prefix = written(prefix.select("class_id", "len", "n", (F.col("n") - F.col("single") - F.col("p")).alias("rest"), "o.shingle"), "prefix")
     near = (F.col("x.class_id") < F.col("y.class_id")) & (10 * F.least("x.len", "y.len") >= RATIO_SHINGLED * F.greatest("x.len", "y.len")) & (100 * F.least("x.n", "y.n") >= JACCARD * F.greatest("x.n", "y.n"))
     # at the first common shingle no more than the rest of either side, it included, can be common
     near = near & ((100 + JACCARD) * F.least("x.rest", "y.rest") >= JACCARD * (F.col("x.n") + F.col("y.n")))
     pairs = prefix.alias("x").join(prefix.alias("y"), "shingle").where(near).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb")), "b")
-    likely = both.where(_similar("sa", "sb")).select("a", "b")
-    forms = classes.select("class_id", "form")
-    exact = likely.join(forms.withColumnsRenamed({"class_id": "a", "form": "fa"}), "a").join(forms.withColumnsRenamed({"class_id": "b", "form": "fb"}), "b")
-    return exact.select("a", "b", T.shingles(F.col("fa")).alias("sa"), T.shingles(F.col("fb")).alias("sb")).where(_similar("sa", "sb")).select("a", "b")
+    return both.where(_similar("sa", "sb")).select("a", "b")
 
 
 def _similar(a: str, b: str) -> Column:
@@ -171,15 +184,18 @@ def greedy_first(items: DataFrame, id_col: str, order: Column, keys: Column) ->
     Done in rounds over all items at once: an item that comes first among the undecided under each of its keys is kept, whatever shares a
     key with it is dropped. Rounds are as many as the longest chain of such decisions; each is written to the shared folder.
     """
+    spark = items.sparkSession
+    path = scratch_path(spark, "kept")
     base = written(items.select(F.col(id_col).alias("i"), F.struct(order.alias("o"), F.col(id_col).alias("i")).alias("ord"), F.array_distinct(F.array_compact(keys)).alias("ks")), "items")
-    kept = base.where("size(ks) = 0").select("i")
+    free = base.where("size(ks) = 0").select("i")
+    free.write.parquet(path)
     left = written(base.where("size(ks) > 0").select("i", "ord", F.explode("ks").alias("k")), "undecided")
     while left.limit(1).count():
         first = left.groupBy("k").agg(F.min("ord").alias("first"))
         state = written(left.join(first, "k").groupBy("i").agg(F.every(F.col("ord") == F.col("first")).alias("keep")), "round")
         now = state.where("keep").select("i")
-        kept = kept.unionByName(now)
+        now.write.mode("append").parquet(path)
         blocked = left.join(now, "i", "left_semi").select("k").distinct()
         gone = left.join(blocked, "k", "left_semi").select("i").distinct()
         left = written(left.join(gone, "i", "left_anti"), "undecided")
-    return kept.withColumnRenamed("i", id_col)
+    return spark.read.schema(free.schema).parquet(path).withColumnRenamed("i", id_col)

@@ -8,10 +8,12 @@ the smaller id, so ranks do not depend on the order of addition.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import is_small, written
+from quern.session import BROADCAST_BYTES, is_small, plan_bytes, written
 
 K1, B, RRF_K, CANDIDATES, TOP = 1.2, 0.75, 60, 50, 10
 
@@ -65,9 +67,12 @@ def bad_vectors(vectors: DataFrame, column: str, dimension: int, tolerance: floa
 
 
 def dense(vectors: DataFrame, id_col: str, column: str, queries: DataFrame, query_id: str, query_column: str) -> DataFrame:
-    """(query_id, id, score) of all vectors against a stated set of queries, which is broadcast in blocks while small and else joined."""
-    block = maybe_broadcast(queries.select(F.col(query_id).alias("q"), F.col(query_column).alias("qv")))
-    return vectors.select(F.col(id_col).alias("d"), F.col(column).alias("v")).crossJoin(block).select(F.col("q").alias(query_id), F.col("d").alias(id_col), F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
+    """(query_id, id, score) of all vectors against a stated set of queries, which goes to them in blocks below the broadcast bound."""
+    asked = written(queries.select(F.col(query_id).alias("q"), F.col(query_column).alias("qv")), "queries")
+    blocks = 1 + plan_bytes(asked) // BROADCAST_BYTES
+    mine = vectors.select(F.col(id_col).alias("d"), F.col(column).alias("v"))
+    parts = [mine.crossJoin(F.broadcast(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b))) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).select(F.col("q").alias(query_id), F.col("d").alias(id_col), F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
 
 
 def rrf(first: DataFrame, second: DataFrame, query_id: str, id_col: str, k: int = RRF_K, candidates: int = CANDIDATES, most: int = TOP) -> DataFrame:
