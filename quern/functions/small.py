@@ -109,3 +109,33 @@ def required_recent(at: Column, now: Column, hours: int = 72) -> Column:
     """Whether an instant is at most so many hours old and not in the future; any other fails the job."""
     age = F.unix_micros(now) - F.unix_micros(at)
     return F.when(age.between(0, hours * 3_600_000_000), F.lit(True)).otherwise(F.raise_error(F.lit("not recent")).cast("boolean"))
+
+
+def safe_title(title: Column, label: Column, private: Column) -> Column:
+    """White space collapsed, 200 characters at most; the generic label where the title is blank or holds personal data."""
+    short = F.left(F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " ")), F.lit(200))
+    return F.when(F.coalesce(private, F.lit(False)) | (short == ""), label).otherwise(short)
+
+
+def markdown_record(rows: DataFrame, by: str, order: str, line: Column) -> DataFrame:
+    """(by, record): a Markdown heading and a list item a row, in order; groups are sections of a report, so of its size."""
+    lines = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("ls"))
+    items = F.array_join(F.transform("ls", lambda x: F.concat(F.lit("- "), x["l"])), "\n")
+    return lines.select(by, F.concat(F.lit("## "), F.col(by).cast("string"), F.lit("\n\n"), items).alias("record"))
+
+
+def mean_vectors(rows: DataFrame, by: str, vector: str, weight: Column) -> DataFrame:
+    """(by, vector): the weighted mean of each group's vectors, scaled to norm 1. Summed by position before the shuffle, so a group may be of any size."""
+    at = rows.select(by, weight.cast("double").alias("w"), F.posexplode(vector).alias("p", "x"))
+    sums = at.groupBy(by, "p").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("x"))
+    whole = sums.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("xs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return whole.select(by, F.transform("xs", lambda e: e["x"] / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("vector"))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n_a, n_b, only_a, only_b): how many rows two tables have, and how many of them, repetitions counted, the other has not."""
+    columns = a.columns
+    both = a.select(*columns, F.lit(1).alias("s"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*columns, F.lit(-1).alias("s"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    per = both.groupBy(*columns).agg(F.sum("s").alias("s"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    zero = F.lit(0).cast("long")
+    return per.agg(F.coalesce(F.sum("x"), zero).alias("n_a"), F.coalesce(F.sum("y"), zero).alias("n_b"), F.coalesce(F.sum(F.greatest("s", F.lit(0))), zero).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("s"), F.lit(0))), zero).alias("only_b"))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import small as H
-from quern.operators import state
+from quern.functions import text as T
+from quern.functions import urls as U
+from quern.operators import dedup, state
 from quern.plans.base import Registry
 from quern.plans.retrieval import retrieval_metrics
+from quern.plans.texts import _sql_url, sql_fold
 from quern.session import table
 
 query = Registry()
@@ -130,4 +133,60 @@ query.sql["metric_averages"] = f"""
 """
 
 
+@query("SELECT entry_id, CASE WHEN regexp_matches(published, '^\\s*[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\\.[0-9]+)?)?\\s*(Z|[+-][0-9]{2}:?[0-9]{2})\\s*$') THEN epoch_us(try_cast(regexp_replace(regexp_replace(trim(published), '\\s+([Z+-])', '\\1'), '([+-][0-9]{2})([0-9]{2})$', '\\1:\\2') AS TIMESTAMPTZ)) END AS at_us FROM feed_entries")
+def strict_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants of ISO texts that name their zone; null for others."""
+    return table(spark, sf_dir, "feed_entries").select("entry_id", F.unix_micros(H.strict_instant(F.col("published"))).alias("at_us"))
+
+
+@query(f"""
+    SELECT entry_id, CASE WHEN regexp_matches(lower(title), '{T.PRIVATE}') OR t = '' THEN 'Entry ' || entry_id ELSE t END AS shown
+    FROM (SELECT entry_id, title, left(trim(regexp_replace(coalesce(title, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')), 200) AS t FROM feed_entries)
+""".replace("OR t = ''", "IS TRUE OR t = ''").replace("WHEN regexp", "WHEN (regexp").replace("IS TRUE", ") IS TRUE"))
+def safe_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "feed_entries").select("entry_id", H.safe_title(F.col("title"), F.concat(F.lit("Entry "), "entry_id"), T.is_private(F.col("title"))).alias("shown"))
+
+
+@query("SELECT code, '## ' || code || chr(10) || chr(10) || string_agg('- ' || report_year || ' ' || replace(replace(title, '\\', '\\\\'), '|', '\\|'), chr(10) ORDER BY report_year) AS record FROM report_manifest GROUP BY code")
+def markdown_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown section for each company with its reports."""
+    return H.markdown_record(table(spark, sf_dir, "report_manifest"), "code", "report_year", F.concat(F.col("report_year").cast("string"), F.lit(" "), H.markdown_cell(F.col("title"))))
+
+
+@query("""
+    WITH x AS (SELECT label, (1 + vec_id % 3) * unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), s AS (SELECT label, p, sum(x) AS x FROM x GROUP BY ALL), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS norm FROM s)
+    SELECT label, array_to_string(list(format('{:.5f}', x / norm + 0.0) ORDER BY p), ' ') AS vector FROM n GROUP BY label
+""")
+def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted mean vector of each label, as text with five places."""
+    means = H.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding", 1 + F.col("vec_id") % 3)
+    return means.select("label", F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x)), " ").alias("vector"))
+
+
+@query("SELECT (SELECT count(*) FROM report_manifest) AS n_a, (SELECT count(*) FROM report_manifest WHERE report_year > 2022) AS n_b, (SELECT count(*) FROM report_manifest WHERE report_year <= 2022) AS only_a, 0::BIGINT AS only_b")
+def rebuilt_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table against a part of it: what each has that the other has not, repetitions counted."""
+    m = table(spark, sf_dir, "report_manifest").select("code", "report_year", "title", "source_url")
+    return H.differences(m, m.where("report_year > 2022"))
+
+
+_BATCH_PRINTS = f"list_filter([sha256('url:' || ({_sql_url('ledger')})), sha256('title:' || regexp_replace(lower({sql_fold('title')}), '[^\\p{{L}}\\p{{N}}]', '', 'g'))], lambda x: x IS NOT NULL)"
+
+
+@query(f"""
+    WITH RECURSIVE e AS (SELECT entry_id, batch_no AS s, {_BATCH_PRINTS} AS ks, row_number() OVER (PARTITION BY batch_no ORDER BY entry_id) AS rn FROM feed_entries),
+    g AS (
+        SELECT entry_id, s, rn, true AS kept, ks AS seen FROM e WHERE rn = 1
+        UNION ALL
+        SELECT e.entry_id, e.s, e.rn, NOT list_has_any(g.seen, e.ks), CASE WHEN list_has_any(g.seen, e.ks) THEN g.seen ELSE g.seen || e.ks END FROM g JOIN e ON e.s = g.s AND e.rn = g.rn + 1
+    )
+    SELECT entry_id FROM g WHERE kept
+""")
+def first_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries kept batch by batch in order, each without a fingerprint that one kept before it has."""
+    entries = table(spark, sf_dir, "feed_entries")
+    keys = F.transform(U.fingerprints(F.col("url"), F.col("title")), lambda p: F.concat(F.col("batch_no").cast("string"), F.lit(":"), p))
+    return dedup.greedy_first(entries, "entry_id", F.col("batch_no"), keys)
+
+
 QUERIES, SQL = query.queries, query.sql
