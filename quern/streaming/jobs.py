@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.operators.state import LIMIT, WINDOW_US, micros
 from quern.session import scratch_path, ship_package
@@ -29,41 +30,39 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there. complete and update results are written batch by batch, keeping the newest per batch."""
+def run_once(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there. Without keys its rows are appended; with keys each batch writes the rows it has changed, and
+    the newest of each key counts. A batch that is run again after a failure writes over what it wrote before."""
     spark = stream.sparkSession
     out, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
     writer = stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True)
-    if mode == "append":
+    if keys is None:
         running = writer.outputMode("append").format("parquet").option("path", out).start()
     else:
-        running = writer.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i:09d}")).start()
+        running = writer.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
     running.awaitTermination()
-    if mode == "append":
+    if keys is None:
         return spark.read.schema(stream.schema).parquet(out)
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch={_last_batch(spark, out):09d}")
-
-
-def _last_batch(spark: SparkSession, out: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return max(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+    others = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", out).parquet(out)
+    newest = rows.groupBy(*keys).agg(F.max(F.struct("batch", *others)).alias("r"))
+    return newest.select(*keys, *(F.col(f"r.{c}").alias(c) for c in others)).select(*stream.columns)
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir).withWatermark("ts", WATERMARK)
     counts = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return run_once(counts.select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n", "total"), "hourly", "complete")
+    return run_once(counts.select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n", "total"), "hourly", ["hour_us", "event_type"])
 
 
 def first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir)
-    return run_once(events.groupBy("user_id", "props").agg(F.min_by("event_id", F.struct(micros(), "event_id")).alias("event_id")), "requests", "complete")
+    return run_once(events.groupBy("user_id", "props").agg(F.min_by("event_id", F.struct(micros(), "event_id")).alias("event_id")), "requests", ["user_id", "props"])
 
 
 def last_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir)
-    return run_once(events.groupBy("user_id").agg(F.max_by("event_type", F.struct(micros(), "event_id")).alias("event_type")), "phases", "complete")
+    return run_once(events.groupBy("user_id").agg(F.max_by("event_type", F.struct(micros(), "event_id")).alias("event_type")), "phases", ["user_id"])
 
 
 def without_repeats(events: DataFrame, keys: list[str], span: str = "24 hours") -> DataFrame:
@@ -94,4 +93,4 @@ def window_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     limited = events.groupBy("user_id").applyInPandasWithState(
         _limited, "event_id long, user_id long, window_start_us long, nth long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout
     )
-    return run_once(limited, "limits", "append")
+    return run_once(limited, "limits")
