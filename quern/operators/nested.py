@@ -326,12 +326,6 @@ def exploded(records: DataFrame, schema: DataFrame | None = None, wanted: dict[s
     return map_columns(source, make, _TABLE_SCHEMA)
 
 
-def flat_table(rows: DataFrame, table_path: str, columns: dict[str, str]) -> DataFrame:
-    """One flat table: columns gives each output name the column path below the table's element."""
-    picked = [F.col("columns").getItem(path).alias(name) for name, path in columns.items()]
-    return rows.where(F.col("table_path") == table_path).select("record_id", "row_key", "parent_key", "ordinal", *picked)
-
-
 #: What problem 6 asks for, as patterns over schema paths. Keys may stand anywhere beneath; the wildcard ends of arrays and maps too.
 WANTED = {
     "manual-review": r"/companies/(?:.*/)?status$",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import html
 import io
 import json
 import os
@@ -43,7 +42,7 @@ def write_status_then(path: str, status: DataFrame, rows: DataFrame, failed: boo
     status.write.mode("overwrite").json(f"{path}/status")
     if failed:
         raise RuntimeError("the run failed; its status is written")
-    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    write_table(rows, f"{path}/rows")
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -90,7 +89,3 @@ def brief_html(items: DataFrame, group: str, order: str) -> DataFrame:
     line = F.when(safe, F.concat(F.lit('<li><a href="'), escaped("url"), F.lit('">'), escaped("title"), F.lit("</a></li>"))).otherwise(F.concat(F.lit("<li>"), escaped("title"), F.lit("</li>")))
     lines = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("ls"))
     return lines.select(group, F.concat(F.lit("<ul>"), F.array_join(F.transform("ls", lambda x: x["l"]), ""), F.lit("</ul>")).alias("html"))
-
-
-def escape(text: str) -> str:
-    return html.escape(text, quote=True)
