@@ -121,38 +121,46 @@ def _containment(classes: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(classes: DataFrame) -> DataFrame:
-    """(class_id, len, s): the set of hashes of a form's shingles (five characters at every second place, runs of digits as one), of
-    forms long enough. 64 bits tell shingles apart."""
+    """(class_id, len, s, m0 .. m3): the set of hashes of a form's shingles (five characters at every second place, runs of digits as one),
+    of forms long enough, and the set's parity map: whether the number of its hashes with each last byte is odd. 64 bits tell shingles
+    apart. Where two maps differ, at least one shingle is in one set only."""
 
     def make():
         def step(batch: dict[str, pa.Array]) -> dict[str, list | pa.Array]:
             sets = [np.unique(rolling(t.as_py(), 5)[::2]) for t in batch["folded"]]
             offsets = np.cumsum([0, *map(len, sets)])
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            return {"class_id": batch["class_id"], "len": batch["len"], "s": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))}
+            odd = [np.bincount(s & 255, minlength=256).astype(np.uint8) & 1 for s in sets]
+            maps = np.packbits(np.array(odd, np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+            return {**{f"m{k}": pa.array(maps[:, k]) for k in range(4)}, "class_id": batch["class_id"], "len": batch["len"], "s": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))}
 
         return step
 
     long = classes.where(F.length("form") >= LEAST_SHINGLED).select("class_id", F.length("form").alias("len"), F.regexp_replace("form", "[0-9]+", "0").alias("folded"))
-    return map_columns(long, make, "class_id long, len int, s array<long>").where("size(s) > 0")
+    return map_columns(long, make, "class_id long, len int, s array<long>, m0 long, m1 long, m2 long, m3 long").where("size(s) > 0")
 
 
 def _shingled(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose shingle sets have the wanted Jaccard similarity, by prefix filtering: a pair must share one of each
-    side's n - ceil(0.88 n) + 1 rarest shingles. Only hashes are carried; forms stay where they are."""
+    side's n - ceil(0.88 n) + 1 rarest shingles. Where it does, positions and parity maps bound what can be common before the sets are
+    brought together. Only hashes are carried; forms stay where they are."""
+    maps = ["m0", "m1", "m2", "m3"]
     sets = written(_shingle_sets(classes), "shingles")
-    posted = sets.select("class_id", "len", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    posted = sets.select("class_id", "len", F.size("s").alias("n"), *maps, F.explode("s").alias("shingle"))
     often = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = posted.join(often, "shingle")
     # shingles only one class holds are rarest of all but join nothing: they use up prefix places without being posted
     single = F.col("n") - F.size("ordered")
-    ordered = shared.groupBy("class_id", "len", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
+    ordered = shared.groupBy("class_id", "len", "n", *maps).agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
     places = F.col("n") - F.ceil(F.col("n") * JACCARD / 100).cast("int") + 1 - single
-    prefix = ordered.where(places > 0).select("class_id", "len", "n", (F.col("n") - F.size("ordered")).alias("single"), F.posexplode(F.slice("ordered", F.lit(1), places)).alias("p", "o"))
-    prefix = written(prefix.select("class_id", "len", "n", (F.col("n") - F.col("single") - F.col("p")).alias("rest"), "o.shingle"), "prefix")
+    prefix = ordered.where(places > 0).select("class_id", "len", "n", *maps, (F.col("n") - F.size("ordered")).alias("single"), F.posexplode(F.slice("ordered", F.lit(1), places)).alias("p", "o"))
+    prefix = written(prefix.select("class_id", "len", "n", *maps, (F.col("n") - F.col("single") - F.col("p")).alias("rest"), "o.shingle"), "prefix")
     near = (F.col("x.class_id") < F.col("y.class_id")) & (10 * F.least("x.len", "y.len") >= RATIO_SHINGLED * F.greatest("x.len", "y.len")) & (100 * F.least("x.n", "y.n") >= JACCARD * F.greatest("x.n", "y.n"))
     # at the first common shingle no more than the rest of either side, it included, can be common
     near = near & ((100 + JACCARD) * F.least("x.rest", "y.rest") >= JACCARD * (F.col("x.n") + F.col("y.n")))
+    # sets that are similar enough differ in at most (1 - J) / (1 + J) of their sizes' sum, and at least where their maps do
+    apart = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in maps), F.lit(0))
+    near = near & ((100 + JACCARD) * apart <= (100 - JACCARD) * (F.col("x.n") + F.col("y.n")))
     pairs = prefix.alias("x").join(prefix.alias("y"), "shingle").where(near).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb")), "b")
     return both.where(_similar("sa", "sb")).select("a", "b")
