@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import small
-from quern.operators import citations, search, vectors
+from quern.operators import citations, retrieval, search, vectors
 
 
 def one(spark, column, **values):
@@ -86,6 +86,51 @@ def test_tfidf_against_plain_python(spark):
             assert math.isclose(scores.get((q, d), 0.0), dot, abs_tol=1e-6)
 
 
+def test_totals_of_pieces(monkeypatch):
+    """Grams are counted whatever the pieces; none spans two texts; other planes and NUL are characters too."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab甲\0\U0001f600") for _ in range(rng.randint(0, 12))) for _ in range(50)]
+    want_df, want = Counter(), Counter()
+    for t in texts:
+        own = Counter(t[k : k + n] for n in (2, 3, 4) for k in range(len(t) - n + 1))
+        want.update(own)
+        want_df.update(own.keys())
+    for table, most in ((1 << 24, 10**6), (1, 10**6), (1 << 24, 30)):
+        monkeypatch.setattr(vectors, "_TABLE", table)
+        df, total = Counter(), Counter()
+        for piece in vectors._pieces(texts, most):
+            for grams, d, t in vectors.piece_totals(texts[piece]):
+                df.update(dict(zip(grams, d.tolist())))
+                total.update(dict(zip(grams, t.tolist())))
+        assert (df, total) == (want_df, want)
+
+
+def test_totals_give_few_rows(spark):
+    """A gram that many texts hold is one row of their piece, not one a text."""
+    docs = spark.createDataFrame([(i, "abcabcabc") for i in range(200)], "d long, t string").coalesce(1)
+    rows = vectors.gram_totals(docs, "d", F.col("t")).collect()
+    assert {(r.gram, r.df, r.total) for r in rows if len(r.gram) == 2} == {("ab", 200, 600), ("bc", 200, 600), ("ca", 200, 400)} and len(rows) == 9
+
+
+def test_nearest_against_all_pairs(spark, monkeypatch):
+    """The same neighbours as from the scores of all pairs, with ties, skipped pairs, and queries in more than one block and tile."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc 甲乙丙") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:20], None])), "d long, t string")
+    skip = spark.createDataFrame([(0, 60), (0, 7), (4, 5)], "q long, d long")
+    found, words = vectors.tfidf(docs, "d", F.col("t"))
+    scores = vectors.cosines(found, "d", found.where("d % 4 = 0"), "q").where("q <> d and score > 0")
+    for tile, nbytes, scatter, skipped in ((768, 64 << 20, 1000, None), (3, 4000, 0, skip), (5, 0, 10**9, skip)):
+        for name, value in (("TILE", tile), ("QUERY_BYTES", nbytes), ("_SCATTER", scatter)):
+            monkeypatch.setattr(vectors, name, value)
+        left = scores if skipped is None else scores.join(skipped, ["q", "d"], "left_anti")
+        want = [tuple(r) for r in retrieval.ranked(left, ["q"], "d", 5).select("q", "rank", "d", "score").orderBy("q", "rank").collect()]
+        near = vectors.nearest(docs, "d", F.col("t"), docs.where("d % 4 = 0"), "q", words, 5, skipped)
+        got = [tuple(r) for r in retrieval.ranked(near, ["q"], "d", 5).select("q", "rank", "d", "score").orderBy("q", "rank").collect()]
+        assert got == want
+    assert vectors.nearest(docs, "d", F.col("t"), docs.limit(0), "q", words, 5).count() == 0
+
+
 def test_set_votes(spark):
     rows = [(1, 0.9, 1, ["a", "b"]), (1, 0.5, 2, ["b", "c"]), (2, 0.4, 1, ["x", "y"]), (3, 0.1, 9, ["z"])]
     got = [(r.q, r.label, r.place) for r in search.set_votes(spark.createDataFrame(rows, "q long, score double, rank int, labels array<string>"), "q", "labels").orderBy("q", "place").collect()]
