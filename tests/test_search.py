@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quern import session
 from quern.functions import small
-from quern.operators import citations, retrieval, search, vectors
+from quern.operators import citations, dedup, retrieval, search, vectors
+from quern.plans import search as plans
 
 
 def one(spark, column, **values):
@@ -131,6 +133,20 @@ def test_nearest_against_all_pairs(spark, monkeypatch):
     assert vectors.nearest(docs, "d", F.col("t"), docs.limit(0), "q", words, 5).count() == 0
 
 
+@pytest.fixture
+def stored(monkeypatch):
+    """The names of the tables that queries write to the shared folder."""
+    names = []
+    for module in (vectors, dedup):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or session.written(df, name))
+    monkeypatch.setattr(plans, "written", lambda df, name: names.append(name) or session.written(df, name))
+    return names
+
+
+def test_neighbours_store_no_pairs(spark, small, stored):
+    assert plans.tfidf_neighbours(spark, small).count() and set(stored) == {"vocabulary"}
+
+
 def test_set_votes(spark):
     rows = [(1, 0.9, 1, ["a", "b"]), (1, 0.5, 2, ["b", "c"]), (2, 0.4, 1, ["x", "y"]), (3, 0.1, 9, ["z"])]
     got = [(r.q, r.label, r.place) for r in search.set_votes(spark.createDataFrame(rows, "q long, score double, rank int, labels array<string>"), "q", "labels").orderBy("q", "place").collect()]
