@@ -147,6 +147,17 @@ def test_neighbours_store_no_pairs(spark, small, stored):
     assert plans.tfidf_neighbours(spark, small).count() and set(stored) == {"vocabulary"}
 
 
+@pytest.mark.parametrize("name", ["guarded_neighbours"])
+def test_guarded_queries_store_no_table_of_the_corpus(spark, small, stored, name):
+    assert getattr(plans, name)(spark, small).count() and set(stored) == {"vocabulary", "pairs", "marked", "asked", "short"}
+
+
+def test_queries_with_many_copies_are_asked_again(spark, small, monkeypatch):
+    want = sorted(map(tuple, plans.guarded(spark, small, 3).collect()))
+    monkeypatch.setattr(plans, "_SPARE", 0)
+    assert sorted(map(tuple, plans.guarded(spark, small, 3).collect())) == want
+
+
 def test_set_votes(spark):
     rows = [(1, 0.9, 1, ["a", "b"]), (1, 0.5, 2, ["b", "c"]), (2, 0.4, 1, ["x", "y"]), (3, 0.1, 9, ["z"])]
     got = [(r.q, r.label, r.place) for r in search.set_votes(spark.createDataFrame(rows, "q long, score double, rank int, labels array<string>"), "q", "labels").orderBy("q", "place").collect()]
