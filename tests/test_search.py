@@ -147,7 +147,7 @@ def test_neighbours_store_no_pairs(spark, small, stored):
     assert plans.tfidf_neighbours(spark, small).count() and set(stored) == {"vocabulary"}
 
 
-@pytest.mark.parametrize("name", ["guarded_neighbours", "law_votes", "held_out_laws"])
+@pytest.mark.parametrize("name", ["guarded_neighbours", "law_votes", "held_out_laws", "kind_votes"])
 def test_guarded_queries_store_no_table_of_the_corpus(spark, small, stored, name):
     assert getattr(plans, name)(spark, small).count() and set(stored) == {"vocabulary", "pairs", "marked", "asked", "short"}
 
