@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import session
-from quern.functions import small
+from quern.functions import fold, small, text
 from quern.operators import citations, dedup, retrieval, search, vectors
 from quern.plans import search as plans
 
@@ -152,6 +152,27 @@ def test_guarded_queries_store_no_table_of_the_corpus(spark, small, stored, name
     assert getattr(plans, name)(spark, small).count() and set(stored) == {"vocabulary", "pairs", "marked", "asked", "short"}
 
 
+@pytest.mark.parametrize("name", ["held_out_laws"])
+def test_guarded_queries_fold_texts_in_workers(spark, small, monkeypatch, name):
+    """No stored table is made by regular expressions of the JVM over whole texts, which took most of these queries' time."""
+    made = {}
+    for module in (vectors, dedup, plans):
+        monkeypatch.setattr(module, "written", lambda df, name: made.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or session.written(df, name))
+    assert getattr(plans, name)(spark, small).count() and "vocabulary" in made
+    assert [k for k, plan in made.items() if "regexp_replace" in plan or "split(" in plan] == []
+
+
+def test_texts_are_folded_as_in_sql(spark):
+    """Lower case by single characters: no final sigma, no dotted i of two characters."""
+    docs = spark.createDataFrame([(1, "ΑΣ İ"), (2, None), (None, "xy")], "d long, t string")
+    assert {r.gram for r in vectors.gram_totals(docs, "d", F.col("t")).collect()} == {"ασ", "σ ", " i", "ασ ", "σ i", "ασ i"}
+    assert fold.spaced_lower("A \t\x0b\nB C\u2003\u2003D") == "a b c\u2003\u2003d"
+    texts = [" \x0b事实 \n本庭认为理由，本院认为", "判决如下", "无", "", "长" * 7500, " " + "头" * 2500 + "中" * 2501 + "尾" * 2500 + " ", "事实\u3000裁定如下", "裁定 如下"]
+    got = spark.createDataFrame(list(enumerate(texts)), "d long, t string").select("d", text.features(F.col("t")).alias("f"), text.normal_form(F.col("t")).alias("n")).orderBy("d").collect()
+    assert [(r.f, r.n) for r in got] == [(fold.judged(t), fold.normal_form(t)) for t in texts]
+    assert fold.normal_form("Ａb，C1一 ㏒") == "bc1一"
+
+
 def test_queries_with_many_copies_are_asked_again(spark, small, monkeypatch):
     want = sorted(map(tuple, plans.guarded(spark, small, 3).collect()))
     monkeypatch.setattr(plans, "_SPARE", 0)
