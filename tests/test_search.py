@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from quern import session
@@ -152,7 +153,7 @@ def test_guarded_queries_store_no_table_of_the_corpus(spark, small, stored, name
     assert getattr(plans, name)(spark, small).count() and set(stored) == {"vocabulary", "pairs", "marked", "asked", "short"}
 
 
-@pytest.mark.parametrize("name", ["held_out_laws"])
+@pytest.mark.parametrize("name", ["held_out_laws", "kind_votes"])
 def test_guarded_queries_fold_texts_in_workers(spark, small, monkeypatch, name):
     """No stored table is made by regular expressions of the JVM over whole texts, which took most of these queries' time."""
     made = {}
@@ -162,6 +163,20 @@ def test_guarded_queries_fold_texts_in_workers(spark, small, monkeypatch, name):
     assert [k for k, plan in made.items() if "regexp_replace" in plan or "split(" in plan] == []
 
 
+@pytest.mark.parametrize("name", ["kind_votes"])
+def test_query_vectors_are_destroyed_once_their_pairs_are_stored(spark, small, monkeypatch, name):
+    """Whatever the blocks of queries, the same rows, and no block of vectors is left on the disks."""
+    want = sorted(map(tuple, getattr(plans, name)(spark, small).collect()))
+    sent, left = [], []
+    blocks = vectors._query_blocks
+    monkeypatch.setattr(vectors, "_query_blocks", lambda *a: (sent.append(b) or b for b in blocks(*a)))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, own=Broadcast.destroy: left.append(len(sent)) or own(self, *a))
+    monkeypatch.setattr(vectors, "TILE", 1)
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 0)
+    assert sorted(map(tuple, getattr(plans, name)(spark, small).collect())) == want
+    assert len(sent) > 1 and left == list(range(1, len(sent) + 1))
+
+
 def test_texts_are_folded_as_in_sql(spark):
     """Lower case by single characters: no final sigma, no dotted i of two characters."""
     docs = spark.createDataFrame([(1, "ΑΣ İ"), (2, None), (None, "xy")], "d long, t string")
