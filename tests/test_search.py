@@ -153,7 +153,7 @@ def test_guarded_queries_store_no_table_of_the_corpus(spark, small, stored, name
     assert getattr(plans, name)(spark, small).count() and set(stored) == {"vocabulary", "pairs", "marked", "asked", "short"}
 
 
-@pytest.mark.parametrize("name", ["held_out_laws", "kind_votes"])
+@pytest.mark.parametrize("name", ["held_out_laws", "kind_votes", "law_votes"])
 def test_guarded_queries_fold_texts_in_workers(spark, small, monkeypatch, name):
     """No stored table is made by regular expressions of the JVM over whole texts, which took most of these queries' time."""
     made = {}
@@ -163,7 +163,7 @@ def test_guarded_queries_fold_texts_in_workers(spark, small, monkeypatch, name):
     assert [k for k, plan in made.items() if "regexp_replace" in plan or "split(" in plan] == []
 
 
-@pytest.mark.parametrize("name", ["kind_votes"])
+@pytest.mark.parametrize("name", ["kind_votes", "law_votes"])
 def test_query_vectors_are_destroyed_once_their_pairs_are_stored(spark, small, monkeypatch, name):
     """Whatever the blocks of queries, the same rows, and no block of vectors is left on the disks."""
     want = sorted(map(tuple, getattr(plans, name)(spark, small).collect()))
