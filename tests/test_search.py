@@ -1,9 +1,12 @@
 import itertools
 import math
+import pickle
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
@@ -177,6 +180,29 @@ def test_query_vectors_are_destroyed_once_their_pairs_are_stored(spark, small, m
     assert len(sent) > 1 and left == list(range(1, len(sent) + 1))
 
 
+def test_few_bytes_of_query_vectors_are_sent(spark, small, monkeypatch):
+    """A block of query vectors lies on the disks of the driver and of each executor, so it holds no weights (12 bytes a feature with its number)."""
+    sent = []
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value, own=SparkContext.broadcast: sent.append(value) or own(self, value))
+    assert plans.law_votes(spark, small).count()
+    known = vectors.Encoder(*sent[0])
+    features = sum(len(known.vectors([fold.spaced_lower(fold.judged(r.text))])[0]) for r in spark.read.parquet(f"{small}/documents.parquet").where("doc_id % 50 = 0 and text is not null").collect())
+    assert features > 100 and 0 < len(pickle.dumps(sent[1])) < 6 * features
+
+
+def test_packed_vectors_are_the_vectors():
+    rng = random.Random(7)
+    grams = sorted({"".join(rng.choice("abc甲乙") for _ in range(rng.randint(2, 4))) for _ in range(300)})
+    for known in (vectors.Encoder(grams, np.random.default_rng(1).random(len(grams)) + 1), vectors.Encoder([], np.zeros(0))):
+        texts = ["", "x", "ab" * 70_000, *("".join(rng.choice("abc甲乙 ") for _ in range(rng.randint(0, 60))) for _ in range(50)), ""]
+        of, feature, weight = known.vectors(texts)
+        by = np.lexsort((feature, of))
+        n, *packed = known.packed(texts)
+        lengths, features, weights = known.unpacked(*packed)
+        assert n == len(of) and lengths.tolist() == np.bincount(of, minlength=len(texts)).tolist()
+        assert features.tolist() == feature[by].tolist() and weights.tolist() == weight[by].tolist()
+
+
 def test_texts_are_folded_as_in_sql(spark):
     """Lower case by single characters: no final sigma, no dotted i of two characters."""
     docs = spark.createDataFrame([(1, "ΑΣ İ"), (2, None), (None, "xy")], "d long, t string")
